@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LIMIT = 2048
-UNIT = 8
+UNIT = 4
 END_ID = 1
 #: Words whose ids a Python worker keeps at most.
 CACHED_WORDS = 1_000_000
 SLICE_WORDS = 200_000
-MAX_ROUNDS = 3000
+MAX_ROUNDS = 1000
+#: The program stops with so small a share of sequences over a lower bound.
+GAP = 5e-4
 
 _tokenizers: dict[str, "Tokens"] = {}
 
@@ -128,10 +130,31 @@ def _price(values, sizes, capacity: int):
     return best[capacity], counts
 
 
+def _start(sizes, demand, capacity: int):
+    """A first basis: each pattern is filled largest first from what is left and used until one of its classes, its own column, is used up."""
+    import numpy as np
+
+    columns, left, alive = np.diag((capacity // sizes).astype(float)), demand.copy(), np.ones(len(sizes), bool)
+    while alive.any():
+        pattern, room = np.zeros(len(sizes)), capacity
+        for i in np.flatnonzero(alive)[::-1]:
+            pattern[i] = min(room // sizes[i], int(np.ceil(left[i])))
+            room -= int(pattern[i] * sizes[i])
+        has = pattern > 0
+        ratios = np.where(has, left / np.where(has, pattern, 1), np.inf)
+        own = int(ratios.argmin())
+        left -= ratios[own] * pattern
+        left[own] = 0
+        alive &= left > 1e-9
+        columns[:, own] = pattern
+    return columns
+
+
 def patterns(histogram: dict[int, int], capacity: int, max_rounds: int = MAX_ROUNDS) -> list[tuple[dict[int, int], int]]:
     """Patterns (how many of each class) and how often each is used, for all pieces of the histogram exactly.
 
-    Column generation by the primal simplex method; stopped early, its basis
+    Column generation by the primal simplex method, to within GAP of the best
+    lower bound (of Farley's and the sum of sizes). Stopped early, its basis
     still is a packing of everything.
     """
     import numpy as np
@@ -140,11 +163,14 @@ def patterns(histogram: dict[int, int], capacity: int, max_rounds: int = MAX_ROU
     if not len(sizes):
         return []
     demand = np.array([histogram[int(c)] for c in sizes], dtype=float)
-    columns = np.diag((capacity // sizes).astype(float))  # a pattern a column
-    inverse, x = np.diag(1 / np.diag(columns)), demand / np.diag(columns)
+    columns = _start(sizes, demand, capacity)  # a pattern a column
+    bound = float(sizes @ demand) / capacity
+    inverse = np.linalg.inv(columns)
+    x = np.maximum(inverse @ demand, 0)
     for k in range(max_rounds):
         value, new = _price(inverse.sum(axis=0), sizes, capacity)
-        if value <= 1 + 1e-7:
+        bound = max(bound, x.sum() / value)
+        if x.sum() <= bound * (1 + GAP):
             break
         d = inverse @ new
         ratios = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
@@ -156,7 +182,7 @@ def patterns(histogram: dict[int, int], capacity: int, max_rounds: int = MAX_ROU
         inverse -= np.outer(d, row)
         inverse[out] = row
         columns[:, out] = new
-        if k % 200 == 199:
+        if k % 100 == 99:
             inverse = np.linalg.inv(columns)
             x = np.maximum(inverse @ demand, 0)
     left, used = demand.astype(np.int64), []

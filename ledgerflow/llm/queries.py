@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash, urls
+from . import chat, embeddings, langid, mixing, packing, pii, quality, sharding, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urls.RULES, "host string, path string, action string")
     return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -52,12 +56,29 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(langid.sample(docs))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc.doc_id", "shard_id", "depth", "bytes")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("quality_measures")
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return judged.select("doc_id", m.n_words.alias("n_words"), m.word_chars.alias("word_chars"), m.n_symbols.alias("n_symbols"), m.n_dup_lines.alias("n_dup_lines"), m.n_repeat_words.alias("n_repeat_words"), "base_failed", "kept")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of all lines, with the marker of every line whose turn leaves 2 when divided by 4 hidden, and the canonical turns."""
+    lines = _table(spark, sf_dir, "conversations")
+    hidden = lines.select("conv_id", "turn", F.when(F.col("turn") % 4 != 2, F.col("role")).alias("marker"), "text", F.col("role").alias("role_given"))
+    return chat.parse(hidden, role_col="marker").select("conv_id", "turn", "role_given", F.col("role_found").alias("role"), "rendered")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -68,5 +89,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op5_urls": urls.URLS_SQL, "op6_mixing": mixing.MIX_SQL}
+    found = {"op5_urls": urls.URLS_SQL, "op6_mixing": mixing.MIX_SQL, "op8_sharding": sharding.SHARD_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ MAX_ROUNDS = 1000
 GAP = 5e-4
 
 _tokenizers: dict[str, "Tokens"] = {}
+#: Lower-case letters of ASCII and Latin-1, which no normaliser changes.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+\\Z")
+#: How byte-level BPE writes bytes: printable ones as themselves, the others from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
 class Tokens:
@@ -36,26 +43,36 @@ class Tokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.fast = Tokenizer.from_file(path), {}, False
+        # Words of lower-case letters can go to the merges at once, if this tokenizer treats letters as _BYTES says.
+        probe = ["word", "\u00fcber\u00df", "\u00e9\u00e0\u00f1\u00ff"]
+        self.fast = all(self.tokenizer.encode(w, add_special_tokens=False).ids == [t.id for t in self.tokenizer.model.tokenize("".join(_BYTES[b] for b in w.encode()))] for w in probe)
 
-    def _learn(self, missing: set[str]) -> None:
+    def _learn(self, missing: set[bytes]) -> None:
         if len(self.words) + len(missing) > CACHED_WORDS:
             self.words.clear()
         # "Word," has the ids of "word" and of ","; only plain ASCII words are taken apart like this.
         parts = {}
-        for w in missing:
+        for raw in missing:
+            w = raw.decode()
             stem = w.lower() if w.isascii() else w
             tail = stem[-1:] if stem[-1:] in ".," and stem[-2:-1].isalpha() else ""
-            parts[w] = (stem[: len(stem) - len(tail)], tail)
-        new = list({p for pair in parts.values() for p in pair if p and p not in self.words})
+            parts[raw] = (stem[: len(stem) - len(tail)], tail)
+        new = [p.decode() for p in {p.encode() for pair in parts.values() for p in pair if p} if p not in self.words]
+        if self.fast:
+            tokenize = self.tokenizer.model.tokenize
+            for w in new:
+                if _LETTERS.match(w):
+                    self.words[w.encode()] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(w if w.isascii() else "".join([_BYTES[b] for b in w.encode()]))])
+            new = [w for w in new if not _LETTERS.match(w)]
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        for w, (stem, tail) in parts.items():
-            if w not in self.words:
-                self.words[w] = self.words[stem] + (self.words[tail] if tail else b"")
+            self.words[w.encode()] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+        for raw, (stem, tail) in parts.items():
+            if raw not in self.words:
+                self.words[raw] = self.words[stem.encode()] + (self.words[tail.encode()] if tail else b"")
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+    def ids(self, text: bytes) -> bytes:
+        """Little-endian unsigned 32-bit ids of UTF-8 text. Only ASCII white space parts words here; the tokenizer sees to any other."""
         words, out = text.split(), []
         for i in range(0, len(words), SLICE_WORDS):
             part = words[i : i + SLICE_WORDS]
@@ -74,7 +91,7 @@ def tokens(path: str) -> Tokens:
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, unit: int = UNIT, keep_ids: bool = True) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens``, the ``ids`` if wanted, and ``task, class, rank``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -90,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for b in batches:
             cols, kept = {n: [] for n in names}, []
             for row, text in enumerate(b.column(1).to_pylist()):
-                ids = tok.ids(text or "") + end
+                ids = tok.ids(text or b"") + end
                 n = len(ids) // 4
                 for start in range(0, n, limit):
                     length = min(limit, n - start)

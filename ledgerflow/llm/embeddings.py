@@ -135,7 +135,7 @@ def _unit(flat, n: int):
     return raw, norms, raw / norms[:, None]
 
 
-def _homes(classes: DataFrame, counts: list, pivots: dict, id_type: str) -> DataFrame:
+def _homes(classes: DataFrame, pivots: dict) -> DataFrame:
     """``cid, label, embedding, n`` with ``home`` (the cell) and ``far`` (the distance to its pivot), and ``ds``, distances to all pivots of the label."""
 
     def run(batches):
@@ -189,7 +189,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         k = min(max_pivots, -(-m // block))
         own = classes.filter((F.col("label") == label) & (F.size("embedding") == dim)).orderBy(F.xxhash64("embedding"), "cid").limit(k).select("embedding").collect()
         pivots[(label, dim)] = _unit([x for r in own for x in r[0]], len(own))[2]
-    housed = materialize(_homes(classes.select("cid", "label", "embedding", "n"), crowded, pivots, ""), "housed_vectors")
+    housed = materialize(_homes(classes.select("cid", "label", "embedding", "n"), pivots), "housed_vectors")
     cells = materialize(housed.groupBy("label", size, "home").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("radius")), "cells")
     of_pivots = {(r["label"], r["dim"], r["home"]): (r["m"], r["radius"]) for r in cells.filter(F.col("label").isin([k[0] for k in pivots])).collect() if (r["label"], r["dim"]) in pivots} if pivots else {}
     eps = math.sqrt(2 - 2 * threshold) + SLACK
@@ -233,8 +233,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
         for table in sorted_runs(batches, "task"):
             side = table.column("side").to_numpy()
-            self_join = len(set(table.column("task")[0].as_py().split(":")[-2:])) == 1 and not side.any()
-            if table.num_rows < 2 or (not self_join and side.all()):
+            home, other, lo, hi = table.column("task")[0].as_py().split(":")[-4:]
+            self_join = home == other and lo == hi
+            if table.num_rows < 2:
                 continue
             cid, n = table.column("cid").to_numpy(), table.column("n").to_numpy().astype(float)
             raw, norms, unit = _unit(pa.concat_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in table.column("embedding").chunks]).flatten().to_numpy(zero_copy_only=False), len(cid))

@@ -18,10 +18,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one that names it (all rows with a null id stay)."""
-    named = simhash.near_duplicates(docs).filter("component_id = doc_id").select("doc_id").distinct()
+    """One document of each group of near-duplicates: the one that names it. Of repeated rows (id and text) one stays; all rows with a null id stay."""
     docs = docs.select(*COLUMNS)
-    return docs.join(named, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    named = simhash.near_duplicates(docs).filter("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    named = materialize(named, "kept_ids")
+    once = docs.join(named.filter("n = 1"), "doc_id", "left_semi")
+    repeated = docs.join(named.filter("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,8 @@ def test_pipeline_stages(spark, small):
     packed = stages["packing"](spark, mixed, small)
     assert packed.filter("start = 0").count() == mixed.count()
     assert {r.doc_id for r in corpus_pipeline.run(spark, small).collect()} == set(n)
+    repeated = stages["simhash near-dedup"](spark, docs.union(docs), small).collect()
+    assert len(repeated) == len({r.doc_id for r in repeated})
     odd = spark.createDataFrame([(None, "w " * 60, None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0)], docs.schema)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, small).count() >= 0 and stage(spark, odd.limit(0), small).count() == 0

@@ -151,3 +151,48 @@ def packed_lines(lines: DataFrame, limit: int = 1400) -> DataFrame:
             yield pa.RecordBatch.from_arrays([keys, seqs, pa.array(out, pa.int64())], names=["exporter", "seq", "payload"])
 
     return lines.select("exporter", "seq", "line").repartition("exporter").sortWithinPartitions("exporter", "seq").mapInArrow(run, "exporter string, seq long, payload long")
+
+
+#: Severity numbers and texts of exported records by level.
+SEVERITY = {"trace": (1, "TRACE"), "debug": (5, "DEBUG"), "info": (9, "INFO"), "warning": (13, "WARN"), "error": (17, "ERROR"), "critical": (21, "FATAL")}
+
+
+def otlp_logs(records: DataFrame) -> DataFrame:
+    """A record a row as the exporter's JSON object."""
+    number = F.element_at(F.create_map(*(F.lit(x) for k, (n, _) in SEVERITY.items() for x in (k, n))), F.col("level"))
+    name = F.element_at(F.create_map(*(F.lit(x) for k, (_, t) in SEVERITY.items() for x in (k, t))), F.col("level"))
+    nanos = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string")
+    body = F.struct(F.col("message").alias("stringValue"))
+    return records.select("event_id", F.to_json(F.struct(nanos.alias("timeUnixNano"), number.alias("severityNumber"), name.alias("severityText"), body.alias("body"))).alias("json"))
+
+
+def otlp_sums(totals: DataFrame) -> DataFrame:
+    """Delta sums as the exporter's JSON, a metric a row."""
+    point = F.struct(F.array(F.struct(F.lit("status").alias("key"), F.struct(F.col("dim_value").alias("stringValue")).alias("value"))).alias("attributes"), F.col("total").cast("string").alias("asInt"))
+    body = F.struct(F.lit("AGGREGATION_TEMPORALITY_DELTA").alias("aggregationTemporality"), F.lit(True).alias("isMonotonic"), F.array(point).alias("dataPoints"))
+    return totals.select("name", "dim_value", F.to_json(F.struct(F.col("name"), body.alias("sum"))).alias("json"))
+
+
+def logfmt_lines(records: DataFrame) -> DataFrame:
+    """``msg="..." key="..."``: backslashes and quotes escaped, line feeds as blanks."""
+    def quoted(c: Column) -> Column:
+        return F.concat(F.lit('"'), F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit(" ")), F.lit('"'))
+
+    return records.select("event_id", F.concat(F.lit("msg="), quoted(F.col("message")), F.lit(" level="), quoted(F.col("level"))).alias("line"))
+
+
+def json_lines(records: DataFrame) -> DataFrame:
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
+    return records.select("event_id", F.to_json(F.struct(stamp.alias("_time"), F.col("level"), F.col("message").alias("_msg"))).alias("line"))
+
+
+def pool(allocations: DataFrame, pool_bytes: int, block_bytes: int, now: int, leak_after: int) -> DataFrame:
+    """Use of a memory pool from its live allocations (``bytes, at``): percentages, and those held too long."""
+    used = F.sum("bytes")
+    blocks = F.sum(F.ceil(F.col("bytes") / block_bytes))
+    return allocations.agg(used.cast("long").alias("used"), F.round(used / pool_bytes * 100, 4).alias("utilisation_percent"), F.round((1 - blocks / (pool_bytes // block_bytes)) * 100, 4).alias("free_blocks_percent"), F.count_if(F.lit(now) - F.col("at") >= leak_after).alias("leaks"))
+
+
+def rates(runs: DataFrame) -> DataFrame:
+    """Operations a second of each run; 0 where no time passed."""
+    return runs.select("run", F.when(F.col("total_ns") == 0, 0.0).otherwise(F.round(F.col("n") * 1e9 / F.col("total_ns"), 4)).alias("ops_per_s"))

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, sorted_runs
+from .common import extended, fresh, materialize, sorted_runs, writable
 
 ROLES = ("system", "user", "assistant")
 #: What speakers are called, by role (fixed values).
@@ -136,7 +136,7 @@ def parse(lines: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     """
     import numpy as np
 
-    lines = lines.drop("role_found", "rendered")
+    lines = writable(lines.drop("role_found", "rendered"))
     doc = fresh(lines, "hmm_line")
     rows = lines.select(F.struct(*(F.col(f"`{c}`") for c in lines.columns)).alias(doc), F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("hmm_role"), F.col(text_col).alias("hmm_raw"))
     rows = features(rows, "hmm_role", "hmm_raw").withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-1)).cast("long"))
@@ -180,8 +180,6 @@ def parse(lines: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     spanned = in_long.select("conv", "chunk", *order, "hmm_marker", "hmm_feature").repartition("group").sortWithinPartitions(*order).mapInArrow(spans, "conv string, chunk long, group string, scores array<double>")
     bounds = materialize(spanned.groupBy("conv").applyInArrow(chain, "group string, entry int, exit int"), "chat_bounds")
 
-    kind = rows.schema[doc].dataType.simpleString()
-
     def decode(batches):
         import pyarrow as pa
 
@@ -191,6 +189,6 @@ def parse(lines: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
             yield from pa.table([table.column(doc), table.column("hmm_text"), pa.array([ROLES[r] for r in roles])], names=[doc, "hmm_text", "role_found"]).to_batches()
 
     joined = rows.withColumn("group", group).join(bounds, "group", "left")
-    found = joined.select(doc, "hmm_text", *order, "hmm_marker", "hmm_feature", "entry", "exit").repartition("group").sortWithinPartitions(*order).mapInArrow(decode, f"{doc} {kind}, hmm_text string, role_found string")
+    found = joined.select(doc, "hmm_text", *order, "hmm_marker", "hmm_feature", "entry", "exit").repartition("group").sortWithinPartitions(*order).mapInArrow(decode, extended(rows.select(doc), "hmm_text string, role_found string"))
     rendered = F.concat(F.lit("<|"), "role_found", F.lit("|>\n"), F.trim("hmm_text"), F.lit("\n<|end|>\n"))
     return found.select(f"{doc}.*", "role_found", rendered.alias("rendered"))

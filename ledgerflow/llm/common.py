@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Inside of a character class: the ASCII white space that separates words.
 SPACE = r"\x20\x09-\x0D"
@@ -38,6 +39,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def writable(df: DataFrame) -> DataFrame:
+    """``df`` with columns of nulls without a type as strings, which files can hold."""
+    return df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and then the columns of ``ddl``."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def words(text):
     """Array of the words of a string column; null text has none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

@@ -16,6 +16,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended, writable
+
 ORDER = 3
 #: Bytes of text that a language's tree is trained on, at most (by whole documents, so a last one may go over).
 TRAIN_BYTES = 2_000_000
@@ -123,9 +125,9 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """Texts by language of documents that aren't held out: at most about ``train_docs`` a language by the hash of their ids, and of these so many as have ``train_bytes``."""
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("i")))
     sizes = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("l") == lang, min(1.0, train_docs / n)).otherwise(share)
+    if not sizes:
+        return {}
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_docs / n)))), F.col("l"))
     draw = F.pmod(F.xxhash64("i"), F.lit(1 << 20)) / (1 << 20)
     few = known.filter(draw < share).select("i", "l", F.octet_length("t").alias("n")).collect()
     chosen, left = [], dict.fromkeys(sizes, train_bytes)
@@ -151,7 +153,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     and is sent to the executors.
     """
     spark = docs.sparkSession
-    docs = docs.drop("lang_pred", "score")
+    docs = writable(docs.drop("lang_pred", "score"))
     at = [c.lower() for c in docs.columns].index(text_col.lower())
     sent = spark.sparkContext.broadcast(model)
 
@@ -163,5 +165,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             found = [m.score(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, extended(docs, "lang_pred string, score double"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import materialize, words, writable
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -44,6 +44,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     row is dropped: one with no copies stays with 0. A null source is a source of
     its own. An empty table gives an empty result. Extra columns may have any name.
     """
+    docs = writable(docs)
     columns = docs.columns if carry is None else carry
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     sized = docs.select(

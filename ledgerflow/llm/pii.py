@@ -18,6 +18,8 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended, writable
+
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field's potentials are fitted on, at most about so many, taken by the hash of their text.
 FIT_DOCS = 20_000
@@ -235,7 +237,7 @@ def find(docs: DataFrame, text_col: str = "text", redact: bool = False, fit_docs
     An input column ``pii_spans`` is replaced; an empty table gives an empty result.
     """
     p = fit(_counted(docs, text_col, fit_docs))
-    docs = docs.drop("pii_spans")
+    docs = writable(docs.drop("pii_spans"))
     at = [c.lower() for c in docs.columns].index(text_col.lower())
     ddl = "array<struct<kind: string, start: long, end: long, base: boolean>>"
 
@@ -274,8 +276,7 @@ def find(docs: DataFrame, text_col: str = "text", redact: bool = False, fit_docs
                 columns[at] = pa.array(new, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], names=[*batch.schema.names, "pii_spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, pii_spans {ddl}")
+    return docs.mapInArrow(run, extended(docs, f"pii_spans {ddl}"))
 
 
 def _redacted(text: str | None, spans: list) -> str | None:

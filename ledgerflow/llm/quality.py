@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, fresh, materialize, words
+from .common import SPACE, SPACE_CHARS, fresh, materialize, words, writable
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -137,7 +137,7 @@ def judge(docs: DataFrame, text_col: str = "text", carry: list[str] | None = Non
     table gives an empty result. Input columns named like the added ones are replaced.
     """
     added = ("quality_measures", "base_failed", "good_probability", "kept")
-    docs = docs.drop(*added)
+    docs = writable(docs.drop(*added))
     columns = [c for c in (docs.columns if carry is None else carry)]
     measured = materialize(measures(docs, text_col).select(*(F.col(f"`{c}`") for c in columns), "quality_measures"), "quality")
     rules = list(RULES)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, writable
 
 LIMIT_BYTES = 1 << 20
 #: Bits of the hash: the first 15 hex digits of an MD5.
@@ -56,6 +56,7 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", tex
     rows alone have more is dealt, after a slash, into shards that keep to the
     limit unless a single text is over it. An empty table gives an empty result.
     """
+    docs = writable(docs)
     columns = docs.columns if carry is None else carry
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), key_hash(F.col(id_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
     keyed = materialize(keyed.withColumn("row", F.monotonically_increasing_id()), "keyed")

@@ -25,7 +25,7 @@ def test_targets_match_resharing(spark):
 
 
 def test_mix_of_odd_rows(spark):
-    docs = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (None, "q", None), (3, None, "y"), (4, "", "x")], "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    docs = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (None, "q", None), (3, None, "y"), (4, "", "x")], "doc_id long, text string, source string").withColumns({"size": F.lit("clash"), "void": F.lit(None), "a.b": F.lit(1)})
     got = mixing.mix(docs).collect()
     assert len(got) == 5 and all(0 <= r.copies <= 3 for r in got) and sorted(r["size"] for r in got) == [0, 0, 1, 3, 3]
     assert len({r.copies for r in got if r.doc.doc_id == 1}) == 1
@@ -84,7 +84,7 @@ def test_roles_are_recovered(spark):
     hidden = lines.withColumn("marker", F.when(F.col("turn") % 4 != 2, F.col("role")))
     more = spark.createDataFrame([(9999, 0, None, "### System: be", None), (9999, 1, "foo", "Human: hi?", None), (9999, 2, None, "bot: yo", None), (9999, None, None, None, None), (None, 0, None, "x", None)], hidden.schema)
     long = spark.range(3000).selectExpr("7777L AS conv_id", "id AS turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role", "'x' AS text").withColumn("marker", F.when(F.col("turn") % 5 != 2, F.col("role")))
-    every = hidden.unionByName(more).unionByName(long).withColumn("rendered", F.lit(1))
+    every = hidden.unionByName(more).unionByName(long).withColumns({"rendered": F.lit(1), "void": F.lit(None), "a.b": F.lit(1)})
     key = ["conv_id", "turn", "role", "text"]
     got = {c: sorted(map(repr, chat.parse(every, role_col="marker", chunk=c).select(*key, "role_found", F.col("rendered").alias("out")).collect())) for c in (7, 512)}
     assert got[7] == got[512] and len(got[7]) == every.count()

@@ -41,13 +41,13 @@ def test_base_spans_match_plain_patterns():
 
 def test_field_adds_what_like_words_show(spark):
     text = "call +1 (269) 555-3296 4524132264652876 now"
-    fit = [(i, f"mail a{i}@b.example.com or +1 (2{i % 90 + 10}) 555-{1000 + i} and 4111111111111111 here") for i in range(60)]
-    docs = spark.createDataFrame([*fit, (100, text), (101, None), (102, ""), (103, "plain words, 2.0")], "doc_id long, text string").withColumn("PII_spans", F.lit(1))
+    fit = [(i, f"mail a{i}@b.example.com or +1 (2{i % 90 + 10}) 555-{1000 + i} and 4111111111111111 here") for i in range(400)]
+    docs = spark.createDataFrame([*fit, (1000, text), (1001, None), (1002, ""), (1003, "plain words, 2.0")], "doc_id long, text string").withColumns({"PII_spans": F.lit(1), "a b-c": F.struct(F.lit(1).alias("x y")), "void": F.lit(None)})
     got = {r.doc_id: r for r in pii.find(docs, redact=True).collect()}
     assert pii.base_spans(text) == []
-    assert [(s.kind, text[s.start : s.end], s.base) for s in got[100].pii_spans] == [("phone", "+1 (269) 555-3296", False), ("card", "4524132264652876", False)]
-    assert got[100].text == "call [PHONE] [CARD] now"
-    assert got[101].text is None and got[101].pii_spans == [] and got[103].text == "plain words, 2.0"
+    assert [(s.kind, text[s.start : s.end], s.base) for s in got[1000].pii_spans] == [("phone", "+1 (269) 555-3296", False), ("card", "4524132264652876", False)]
+    assert got[1000].text == "call [PHONE] [CARD] now"
+    assert got[1001].text is None and got[1001].pii_spans == [] and got[1003].text == "plain words, 2.0"
     assert pii.find(docs.limit(0)).count() == 0
 
 
@@ -75,7 +75,7 @@ def plain_measures(t):
 def test_quality_measures_and_verdicts(spark, small):
     rng = random.Random(2)
     odd = [None, "", " \n ", "a", "a b c a b c", "a b a b a b a b", "x y z\nx y z\n\n \nx", "é # ü$ <b>", " ".join(rng.choices("ab", k=300)), " ".join(rng.choices("abcdefgh", k=3000)), "\x0ba\x0cb\r\n"]
-    docs = spark.createDataFrame(list(enumerate(odd)) + [(3, "a"), (None, "b")], "doc_id long, text string").withColumns({"kept": F.lit("x"), "qm_words": F.lit(1)})
+    docs = spark.createDataFrame(list(enumerate(odd)) + [(3, "a"), (None, "b")], "doc_id long, text string").withColumns({"kept": F.lit("x"), "qm_words": F.lit(1), "void": F.lit(None)})
     got = quality.judge(docs).collect()
     assert len(got) == len(odd) + 2
     for r in got:

@@ -18,18 +18,23 @@ def running_sum(df: DataFrame, order: str, value: str, out: str, block: int = 1
 def counter(commands: DataFrame, block: int = 1 << 20) -> DataFrame:
     """The counter's value after each command (INC, DEC, RESET, GET).
 
-    The value is the running sum of steps since the last reset: the sum up to
-    here less the sum at the reset, both prefix sums by blocks.
+    Work is by blocks of ``block`` successive indices. Two aggregations without
+    a sort give what each block leaves behind: the steps after its last reset,
+    or all of its steps. Chained over the blocks, a row each, these are the
+    values that the blocks start with; within a block a running sum is enough.
     """
-    step = F.when(F.col("cmd") == "INC", 1).when(F.col("cmd") == "DEC", -1).otherwise(0).cast("long")
-    c = running_sum(commands.withColumn("_step", step), "idx", "_step", "_sum", block)
-    # The last reset at or before a row: within its block, else the last of the earlier blocks.
-    c = c.withColumn("_block", F.floor(F.col("idx") / block)).withColumn("_reset", F.when(F.col("cmd") == "RESET", F.col("_sum")))
-    per = c.groupBy("_block").agg(F.max_by("_reset", F.when(F.col("_reset").isNotNull(), F.col("idx"))).alias("_r"))
-    earlier = per.select("_block", F.last("_r", ignorenulls=True).over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
-    own = F.last("_reset", ignorenulls=True).over(Window.partitionBy("_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    out = c.withColumn("_own", own).join(earlier, "_block")
-    return out.select("idx", "cmd", (F.col("_sum") - F.coalesce("_own", "_earlier", F.lit(0))).cast("long").alias("value"))
+    reset = F.col("cmd") == "RESET"
+    c = commands.select("idx", "cmd", F.when(F.col("cmd") == "INC", 1).when(F.col("cmd") == "DEC", -1).otherwise(0).cast("long").alias("_step"), F.floor(F.col("idx") / block).alias("_block"))
+    last = c.groupBy("_block").agg(F.max(F.when(reset, F.col("idx"))).alias("_last"))
+    left = c.join(last, "_block").groupBy("_block", "_last").agg(F.sum(F.when(F.col("_last").isNull() | (F.col("idx") > F.col("_last")), F.col("_step")).otherwise(0)).alias("_left"))
+    # Blocks since the last one with a reset add up.
+    order = Window.orderBy("_block")
+    runs = left.withColumn("_run", F.count("_last").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = runs.withColumn("_end", F.sum("_left").over(Window.partitionBy("_run").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)))
+    starts = ends.select("_block", F.coalesce(F.lag("_end").over(order), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    summed = c.withColumn("_sum", F.sum("_step").over(within)).withColumn("_at", F.last(F.when(reset, F.col("_sum")), ignorenulls=True).over(within))
+    return summed.join(starts, "_block").select("idx", "cmd", F.when(F.col("_at").isNull(), F.col("_start") + F.col("_sum")).otherwise(F.col("_sum") - F.col("_at")).cast("long").alias("value"))
 
 
 def kv_final(commands: DataFrame) -> DataFrame:

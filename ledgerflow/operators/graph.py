@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shortest_paths(edges: DataFrame, max_hops: int = 6) -> DataFrame:
-    """``src, dst, hops, latency_ms, path`` for each pair within ``max_hops``: the fewest hops, of such paths the least by its nodes.
+def shortest_paths(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``src, dst, hops, latency_ms, path`` for each connected pair, or those within ``max_hops``: the fewest hops, of such paths the least by its nodes.
 
     A frontier grows by one hop a round and keeps pairs not reached before; each
     round joins the frontier, not all pairs, with the edges.
@@ -27,7 +29,7 @@ def shortest_paths(edges: DataFrame, max_hops: int = 6) -> DataFrame:
     step = best.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("latency_ms").alias("more"))
     frontier = best.select("src", "dst", F.lit(1).alias("hops"), F.col("latency_ms").cast("long").alias("latency_ms"), F.array("src", "dst").alias("path"))
     reached = frontier
-    for hops in range(2, max_hops + 1):
+    for hops in itertools.count(2) if max_hops is None else range(2, max_hops + 1):
         grown = frontier.join(step, F.col("dst") == F.col("mid")).filter("src <> to")
         grown = grown.select("src", F.col("to").alias("dst"), F.lit(hops).alias("hops"), (F.col("latency_ms") + F.col("more")).alias("latency_ms"), F.concat("path", F.array("to")).alias("path"))
         new = grown.groupBy("src", "dst").agg(F.min(F.struct("path", "hops", "latency_ms")).alias("p")).select("src", "dst", "p.hops", "p.latency_ms", "p.path")

@@ -44,6 +44,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.fast = Tokenizer.from_file(path), {}, False
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Words of lower-case letters can go to the merges at once, if this tokenizer treats letters as _BYTES says.
         probe = ["word", "\u00fcber\u00df", "\u00e9\u00e0\u00f1\u00ff"]
         self.fast = all(self.tokenizer.encode(w, add_special_tokens=False).ids == [t.id for t in self.tokenizer.model.tokenize("".join(_BYTES[b] for b in w.encode()))] for w in probe)
@@ -52,10 +53,12 @@ class Tokens:
         if len(self.words) + len(missing) > CACHED_WORDS:
             self.words.clear()
         # "Word," has the ids of "word" and of ","; only plain ASCII words are taken apart like this.
+        # Words that hold an added token's text in any case stay as they are: the tokenizer finds these before it lower-cases.
         parts = {}
         for raw in missing:
             w = raw.decode()
-            stem = w.lower() if w.isascii() else w
+            low = w.lower()
+            stem = low if w.isascii() and not any(a in low for a in self.added) else w
             tail = stem[-1:] if stem[-1:] in ".," and stem[-2:-1].isalpha() else ""
             parts[raw] = (stem[: len(stem) - len(tail)], tail)
         new = [p.decode() for p in {p.encode() for pair in parts.values() for p in pair if p} if p not in self.words]

@@ -36,3 +36,10 @@ def test_paths_have_no_hop_limit(spark, small):
 @pytest.mark.parametrize("name", ["shortest_hops_all", "path_latency_all", "route_outcome_all"])
 def test_all_paths_match_their_sql(spark, small, name):
     assert not differs(spark, small, plans.queries()[name], plans.oracle_sql()[name])
+
+
+def test_reliability_of_all_connected_pairs(spark, small):
+    want = plain_hops({(r.src, r.dst) for r in load(spark, small, "topology_edges").collect()})
+    got = {(r.src, r.dst) for r in plans.queries()["path_reliability_all"](spark, small).collect()}
+    assert got == set(want)
+    assert not differs(spark, small, plans.queries()["path_reliability_all"], plans.oracle_sql()["path_reliability_all"])

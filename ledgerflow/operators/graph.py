@@ -2,42 +2,34 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, materialize
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder that the cluster shares and read back, so that rounds of a loop don't pile up."""
-    import uuid
 
-    spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shortest_paths(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """``src, dst, hops, latency_ms, path`` for each connected pair, or those within ``max_hops``: the fewest hops, of such paths the least by its nodes.
+def shortest_paths(edges: DataFrame) -> DataFrame:
+    """``src, dst, hops, latency_ms, path`` for each connected pair: the fewest hops, of such paths the least by its nodes.
 
     A frontier grows by one hop a round and keeps pairs not reached before; each
-    round joins the frontier, not all pairs, with the edges.
+    round joins the frontier, not all pairs, with the edges, and writes the new
+    paths only. All pairs are the result, so it is as large as they are.
     """
     best = edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("latency_ms").alias("latency_ms"))
     step = best.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("latency_ms").alias("more"))
-    frontier = best.select("src", "dst", F.lit(1).alias("hops"), F.col("latency_ms").cast("long").alias("latency_ms"), F.array("src", "dst").alias("path"))
-    reached = frontier
-    for hops in itertools.count(2) if max_hops is None else range(2, max_hops + 1):
-        grown = frontier.join(step, F.col("dst") == F.col("mid")).filter("src <> to")
+    rounds = [materialize(best.select("src", "dst", F.lit(1).alias("hops"), F.col("latency_ms").cast("long").alias("latency_ms"), F.array("src", "dst").alias("path")), "frontier")]
+    while True:
+        hops, reached = len(rounds) + 1, functools.reduce(DataFrame.unionByName, (r.select("src", "dst") for r in rounds))
+        grown = rounds[-1].join(step, F.col("dst") == F.col("mid")).filter("src <> to")
         grown = grown.select("src", F.col("to").alias("dst"), F.lit(hops).alias("hops"), (F.col("latency_ms") + F.col("more")).alias("latency_ms"), F.concat("path", F.array("to")).alias("path"))
         new = grown.groupBy("src", "dst").agg(F.min(F.struct("path", "hops", "latency_ms")).alias("p")).select("src", "dst", "p.hops", "p.latency_ms", "p.path")
-        frontier = _written(new.join(reached, ["src", "dst"], "left_anti"), "frontier")
+        frontier = materialize(new.join(reached, ["src", "dst"], "left_anti"), "frontier")
         if frontier.isEmpty():
-            break
-        reached = _written(reached.unionByName(frontier), "reached")
-    return reached
+            discard(frontier)
+            return functools.reduce(DataFrame.unionByName, rounds)
+        rounds.append(frontier)
 
 
 def route_outcomes(messages: DataFrame, paths: DataFrame, nodes: DataFrame, seed: int = 42) -> DataFrame:

@@ -133,22 +133,23 @@ def operation_rates(v):
     return telemetry.rates(v("events").groupBy(F.col("user_id").alias("run")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event_id") % 7).alias("total_ns")))
 
 
-@query("""WITH e AS (SELECT src, dst, min(latency_ms) AS l FROM topology_edges WHERE src <> dst GROUP BY src, dst) SELECT src, dst, round(1.0 - (src + dst) % 10 / 100.0, 6)::DOUBLE AS reliability FROM e""", "topology_edges")
-def path_reliability(v):
-    """Of single hops, whose path is the edge itself."""
-    e = v("topology_edges").filter("src <> dst").withColumn("reliability", 1.0 - (F.col("src") + F.col("dst")) % 10 / 100.0)
-    return graph.path_reliability(graph.shortest_paths(e, 1), e).withColumn("reliability", F.round("reliability", 6))
+RELIABILITY = f"""WITH RECURSIVE topology_edges AS ({VIEWS["topology_edges"][1]}), e AS (SELECT DISTINCT src, dst, 1.0::DOUBLE - (src + dst) % 10 / 100.0::DOUBLE AS r FROM topology_edges WHERE src <> dst),
+p AS (SELECT src, dst, 1 AS hops, r, [src, dst] AS path FROM e UNION ALL SELECT p.src, e.dst, p.hops + 1, p.r * e.r, list_append(p.path, e.dst) FROM p JOIN e ON p.dst = e.src WHERE NOT list_contains(p.path, e.dst))
+SELECT src, dst, round(r, 6) AS reliability FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hops, path) AS k FROM p) WHERE k = 1"""
 
 
-@query(f"""WITH RECURSIVE topology_edges AS ({VIEWS["topology_edges"][1]}), e AS (SELECT DISTINCT src, dst, 1.0::DOUBLE - (src + dst) % 10 / 100.0::DOUBLE AS r FROM topology_edges WHERE src <> dst),
-p AS (SELECT src, dst, 1 AS hops, r, [src, dst] AS path FROM e UNION ALL SELECT p.src, e.dst, p.hops + 1, p.r * e.r, list_append(p.path, e.dst) FROM p JOIN e ON p.dst = e.src WHERE NOT list_contains(p.path, e.dst))
-SELECT src, dst, round(r, 6) AS reliability FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hops, path) AS k FROM p) WHERE k = 1""")
-def path_reliability_all(v):
+@query(RELIABILITY)
+def path_reliability(v):
     """Of the shortest paths of all connected pairs."""
     e = v("topology_edges").filter("src <> dst").withColumn("reliability", 1.0 - (F.col("src") + F.col("dst")) % 10 / 100.0)
     return graph.path_reliability(graph.shortest_paths(e), e).withColumn("reliability", F.round("reliability", 6))
 
 
+@query(RELIABILITY)
+def path_reliability_all(v):
+    return path_reliability(v)
+
+
 @query("SELECT node_id, last_included_index FROM (SELECT user_id AS node_id, event_id AS last_included_index, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 3")
 def retained_snapshots(v):
     return backup.newest_snapshots(v("events").select(F.col("user_id").alias("node_id"), F.col("event_id").alias("last_included_index")), 3)

@@ -266,7 +266,7 @@ EDGES = "e AS (SELECT src, dst, min(latency_ms) AS l FROM topology_edges WHERE s
 
 
 PATHS = f"""WITH RECURSIVE {{views}}, {EDGES}, p AS (SELECT src, dst, 1 AS hops, l::BIGINT AS latency_ms, [src, dst] AS path FROM e
-  UNION ALL SELECT p.src, e.dst, p.hops + 1, p.latency_ms + e.l, list_append(p.path, e.dst) FROM p JOIN e ON p.dst = e.src WHERE p.hops < 6 AND NOT list_contains(p.path, e.dst)),
+  UNION ALL SELECT p.src, e.dst, p.hops + 1, p.latency_ms + e.l, list_append(p.path, e.dst) FROM p JOIN e ON p.dst = e.src WHERE NOT list_contains(p.path, e.dst)),
 b AS (SELECT src, dst, hops, latency_ms, path FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hops, path) AS k FROM p) WHERE k = 1)"""
 
 
@@ -278,12 +278,12 @@ def _paths_sql(tail):
 
 @query(_paths_sql(" SELECT src, dst, hops FROM b"))
 def shortest_hops(v):
-    return graph.shortest_paths(v("topology_edges"), 6).select("src", "dst", "hops")
+    return graph.shortest_paths(v("topology_edges")).select("src", "dst", "hops")
 
 
 @query(_paths_sql(" SELECT src, dst, latency_ms, array_to_string(path, '>') AS path FROM b"))
 def path_latency(v):
-    return graph.shortest_paths(v("topology_edges"), 6).select("src", "dst", "latency_ms", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    return graph.shortest_paths(v("topology_edges")).select("src", "dst", "latency_ms", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query(_paths_sql(""", m AS (SELECT event_id AS msg_id, CAST(user_id % 27 AS INTEGER) AS src, CAST(event_id % 26 AS INTEGER) AS dst FROM events)
@@ -291,25 +291,20 @@ SELECT msg_id, CASE WHEN m.src > 24 OR m.dst > 24 THEN 'unknown_node' WHEN m.src
   CASE WHEN m.src > 24 OR m.dst > 24 THEN NULL WHEN m.src = m.dst THEN 0 ELSE b.latency_ms END AS latency_ms FROM m LEFT JOIN b ON b.src = m.src AND b.dst = m.dst"""))
 def route_outcome(v):
     m = v("events").select(F.col("event_id").alias("msg_id"), (F.col("user_id") % 27).cast("int").alias("src"), (F.col("event_id") % 26).cast("int").alias("dst"))
-    return graph.route_outcomes(m, graph.shortest_paths(v("topology_edges"), 6), v("nation").select(F.col("n_nationkey").alias("node")))
-
-
-def _all_paths_sql(tail):
-    """As _paths_sql, without its bound of six hops; list_contains ends the recursion."""
-    return _paths_sql(tail).replace("p.hops < 6 AND ", "")
+    return graph.route_outcomes(m, graph.shortest_paths(v("topology_edges")), v("nation").select(F.col("n_nationkey").alias("node")))
 
 
-@query(_all_paths_sql(" SELECT src, dst, hops FROM b"))
+@query(_paths_sql(" SELECT src, dst, hops FROM b"))
 def shortest_hops_all(v):
     return graph.shortest_paths(v("topology_edges")).select("src", "dst", "hops")
 
 
-@query(_all_paths_sql(" SELECT src, dst, latency_ms, array_to_string(path, '>') AS path FROM b"))
+@query(_paths_sql(" SELECT src, dst, latency_ms, array_to_string(path, '>') AS path FROM b"))
 def path_latency_all(v):
     return graph.shortest_paths(v("topology_edges")).select("src", "dst", "latency_ms", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
-@query(_all_paths_sql(""", m AS (SELECT event_id AS msg_id, CAST(user_id % 27 AS INTEGER) AS src, CAST(event_id % 26 AS INTEGER) AS dst FROM events)
+@query(_paths_sql(""", m AS (SELECT event_id AS msg_id, CAST(user_id % 27 AS INTEGER) AS src, CAST(event_id % 26 AS INTEGER) AS dst FROM events)
 SELECT msg_id, CASE WHEN m.src > 24 OR m.dst > 24 THEN 'unknown_node' WHEN m.src <> m.dst AND b.hops IS NULL THEN 'no_path' ELSE 'delivered' END AS outcome,
   CASE WHEN m.src > 24 OR m.dst > 24 THEN NULL WHEN m.src = m.dst THEN 0 ELSE b.latency_ms END AS latency_ms FROM m LEFT JOIN b ON b.src = m.src AND b.dst = m.dst"""))
 def route_outcome_all(v):

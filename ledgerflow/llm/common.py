@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import discard, materialize, shared_dir
+
+__all__ = ["discard", "extended", "fresh", "join_hot", "materialize", "shared_dir", "sorted_runs", "words", "writable"]
+
 #: Inside of a character class: the ASCII white space that separates words.
 SPACE = r"\x20\x09-\x0D"
 #: The same characters as a set for trim().
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The written table cuts the lineage, survives lost executors, is computed
-    once however often it is read, and has sizes that the planner can use.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underscores added until ``df`` has no such column (names are compared as Spark does by default)."""
     taken = {c.lower() for c in df.columns}
@@ -55,6 +40,26 @@ def words(text):
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
 
+#: Keys that hold more than one row in so many are hot; there can't be more such keys than that.
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int, by: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key and in ``n`` the number of the key's rows, ``total`` in all; null where there is no such key.
+
+    Hot keys, HOT_KEYS at most, are broadcast, and their rows are dealt over all
+    tasks by the column ``by``; the others meet by a sort-merge join, whatever
+    their size. The columns of ``on`` hold no nulls.
+    """
+    payload = [c for c in table.columns if c not in (*on, n)]
+    hot = table.filter(F.col(n) > max(HOT_KEYS, total // HOT_KEYS)).select(*on, F.struct(*payload).alias("_hot"))
+    part = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(by), F.lit(1 << 30))).otherwise(F.lit(0).cast("long"))
+    spread = rows.join(F.broadcast(hot), on, "left").withColumn("_part", part)
+    cold = table.select(*on, F.lit(0).cast("long").alias("_part"), F.struct(*payload).alias("_cold"))
+    out = spread.join(cold.hint("merge"), [*on, "_part"], "left")
+    return out.select(*rows.columns, *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in payload))
+
+
 def sorted_runs(batches, key: str):
     """Yield the rows of each run of equal ``key`` as one pyarrow table, from batches that are sorted by it.
 

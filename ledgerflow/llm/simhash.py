@@ -10,8 +10,8 @@
     parts of about ``max_part`` members, and each part's tree is sent to the
     tasks of every part of the same shard (by the shuffle: a Spark broadcast of
     all trees would grow with the corpus, without bound).
-5.  A shard returns a spanning forest of its links, never all pairs; components
-    are then found over the links.
+5.  A shard returns stars that join what its links join, never all pairs;
+    components are then found over them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sorted_runs
+from .common import join_hot, materialize, sorted_runs
 from .components import connected_components
 
 RADIUS = 4
@@ -97,29 +97,30 @@ class BKTree:
         return found
 
 
-def _forest(tree_values: list[int], query_values: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest; without ``query_values`` among the tree's own members."""
-    parent: dict[int, int] = {}
+def _stars(tree_values: list[int], query_values: list[int] | None, radius: int) -> list[tuple[int, int]]:
+    """Places (in the tree's values, then the queries') of a component's first member and of each other one, for the components of the links; without ``query_values`` among the tree's own members."""
+    values = tree_values + (query_values or [])
+    parent = list(range(len(values)))
 
     def find(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
 
-    tree, links = BKTree(), []
+    tree, place = BKTree(), {}
     if query_values is not None:
-        for v in tree_values:
+        for i, v in enumerate(tree_values):
             tree.add(v)
-    for v in tree_values if query_values is None else query_values:
-        for m in tree.within(v, radius):
-            a, b = find(v), find(m)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((v, m))
+            place[v] = i
+    for i in range(len(tree_values) if query_values is not None else 0, len(values)):
+        for m in tree.within(values[i], radius):
+            a, b = find(i), find(place[m])
+            parent[max(a, b)] = min(a, b)
         if query_values is None:
-            tree.add(v)
-    return links
+            tree.add(values[i])
+            place[values[i]] = i
+    return [(r, i) for i in range(len(values)) if (r := find(i)) != i]
 
 
 def _choices(n: int, radius: int, members: int) -> list[list[tuple[int, int]]]:
@@ -133,8 +134,8 @@ def _choices(n: int, radius: int, members: int) -> list[list[tuple[int, int]]]:
     return [list(c) for c in chosen]
 
 
-def links(fps: DataFrame, n: int, radius: int = RADIUS, members: int = SHARD_MEMBERS, max_part: int = MAX_PART) -> DataFrame:
-    """``a, b``: links that join all of the ``n`` distinct values of ``fp`` that chains of steps of ``radius`` bits join."""
+def links(nodes: DataFrame, n: int, radius: int = RADIUS, members: int = SHARD_MEMBERS, max_part: int = MAX_PART) -> DataFrame:
+    """``a, b``: pairs of ``label`` that join all of the ``n`` rows with distinct ``fp`` that chains of steps of ``radius`` bits join."""
     fp = F.col("fp")
     keys = []
     for blocks in _choices(n, radius, members):
@@ -142,13 +143,13 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, members: int = SHARD_MEM
         for shift, width in blocks:
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1))
         keys.append(key)
-    rows = fps.select("fp", F.posexplode(F.array(*keys)).alias("t", "k"))
+    rows = nodes.select("label", "fp", F.posexplode(F.array(*keys)).alias("t", "k"))
     crowded = rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_part)
     rows = rows.join(crowded, ["t", "k"], "left").withColumn("parts", F.ceil(F.coalesce(F.col("n"), F.lit(1)) / max_part).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("other", other).select(
-        F.xxhash64("t", "k", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "t", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("in_tree"), "fp"
+        F.xxhash64("t", "k", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "t", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("in_tree"), "fp", "label"
     )
 
     def run(batches):
@@ -159,17 +160,21 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, members: int = SHARD_MEM
                 continue
             # The shard's name is a hash: rows of two shards that collide are told apart here.
             shards: dict = {}
-            for t, k, p, q, in_tree, v in zip(*(table.column(c).to_pylist() for c in ("t", "k", "p", "q", "in_tree", "fp"))):
-                shards.setdefault((t, k, p, q), ([], []))[0 if in_tree else 1].append(v & 0xFFFFFFFFFFFFFFFF)
-            found = [x for (_, _, p, q), (tree, query) in shards.items() for x in _forest(tree, None if p == q else query, radius)]
+            for i, (t, k, p, q, in_tree, v) in enumerate(zip(*(table.column(c).to_pylist() for c in ("t", "k", "p", "q", "in_tree", "fp")))):
+                shards.setdefault((t, k, p, q), ([], []))[0 if in_tree else 1].append((v & 0xFFFFFFFFFFFFFFFF, i))
+            found = []
+            for (_, _, p, q), (tree, query) in shards.items():
+                at = [i for _, i in tree + query]
+                found += [(at[x], at[y]) for x, y in _stars([v for v, _ in tree], None if p == q else [v for v, _ in query], radius)]
             if found:
-                signed = [[x - (x >> 63 << 64) for x in side] for side in zip(*found)]
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()) for s in signed], names=["a", "b"])
+                label = table.column("label").combine_chunks()
+                yield pa.RecordBatch.from_arrays([label.take(pa.array(side)) for side in zip(*found)], names=["a", "b"])
 
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+    kind = nodes.schema["label"].dataType.simpleString()
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = RADIUS, max_part: int = MAX_PART) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = RADIUS, max_part: int = MAX_PART, similarity: float | None = None, row_col: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, fp, fingerprint, component_id``.
 
     ``fingerprint``: 16 lower-case hex digits. ``component_id``: the least
@@ -178,11 +183,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     zero and link like any other. Rows with a null doc_id link too but name no
     component (it is null only if all of its rows have none). Repeated rows stay
     repeated. Extra columns are ignored. An empty table gives an empty result.
+
+    With ``similarity`` documents link by that similarity of their sets of
+    shingles instead: see similar.near_duplicates, which ``row_col`` is for.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fingerprints")
-    roots = connected_components(links(distinct, distinct.count(), radius, max_part=max_part))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    component = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(component, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    if similarity is not None:
+        from . import similar
+
+        return similar.near_duplicates(docs, id_col, text_col, size, similarity, row_col, max_part)
+    fps = materialize(fingerprints(docs, id_col, text_col, size).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    # A fingerprint's label starts with its least document, so that a component's least label names the component.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+    distinct = fps.groupBy("fp").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).select("fp", "n", F.struct("f.none", "f.id", "fp").alias("label"))
+    distinct = materialize(distinct, "distinct_fingerprints")
+    n, total = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    roots = connected_components(links(distinct, n, radius, max_part=max_part)).withColumnRenamed("node", "label")
+    named = distinct.join(roots.hint("merge"), "label", "left").select("fp", "n", F.coalesce("root", "label").id.alias("component_id"))
+    found = join_hot(fps, named, ["fp"], "n", total, "row")
+    return found.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,41 +1,102 @@
-"""Near-duplicate documents by the exact similarity of their shingle sets.
-
-1.  Each document is the set of its shingles. Equal sets meet as one row.
-2.  Candidates share a band of a MinHash signature. SimHash shards can't give
-    them: at a similarity of 0.8 fingerprints differ in up to 17 of 64 bits.
-3.  Each candidate pair is checked on its texts, so no link is false. First the
-    members of a bucket are checked against its best-connected one; what that
-    doesn't join is then checked against all others of the bucket, so that a
-    large group of copies isn't compared pair by pair.
+"""SimHash near-dedup at a similarity of shingle sets: wide fingerprints, BK-trees, and a check on the texts.
+
+A similarity of 0.8 is a long way in fingerprint bits, too long for shards by
+blocks of equal bits. So fingerprints have 256 bits, shards are named by bands
+of min-wise hashes (two documents share one if their sets are alike), and each
+shard's members meet in BK-trees whose radius holds a similarity of ``least``.
+
+1.  Each document is the set of its shingles. Equal sets meet as one node.
+2.  Buckets of one member go at once; a crowded one is dealt into parts.
+3.  First each part picks leaders: members in order of their distance to the
+    majority fingerprint look for a leader in the tree and become one if none
+    is near. Leaders of a crowded bucket's parts then do the same together.
+    Pairs of a member and its leader are checked on their whole texts.
+4.  What that leaves apart within a bucket is looked up, in a second pass,
+    against all of the bucket. No link between candidates is lost, and a group
+    of copies of one text isn't compared pair by pair.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, join_hot, materialize, sorted_runs
 from .components import connected_components
 
 SIZE = 5
 LEAST = 0.8
-#: A pair at 0.8 shares no band with a probability of (1 - 0.8 ** 4) ** 24 = 3e-6.
-BANDS = 24
-ROWS = 4
-#: Shingles whose signature is worked out at once.
-STEP = 4096
+BITS = 256
+#: A pair at 0.8 shares no band with a probability of (1 - 0.8 ** 4) ** 20 = 3e-5.
+BANDS, ROWS = 20, 4
+MAX_PART = 1024
+#: Texts that a task compares with one leader's, and shingles that are worked on at once.
+CHECKS, STEP = 512, 4096
+#: Sets of fewer shingles than this get twice the slack in the radius.
+FEW = 32
+CACHED_WORDS, LONG_WORD = 200_000, 64
+
+_C1, _C2, _PRIME = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15
+
+
+class Words(dict):
+    """Hashes of words; short ones are kept, so many at most."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_words = Words()
+
+
+def _mixed(h):
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(_C1)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_C2)
+    return h ^ (h >> np.uint64(32))
 
 
 def shingles(text: bytes | None, size: int = SIZE):
-    """Sorted distinct XXH64 of the shingles, with words as in simhash.fingerprint."""
+    """Sorted distinct 64-bit hashes of the shingles, with words as in simhash.fingerprint."""
     import numpy as np
-    import xxhash
 
     words = (text or b"").lower().split()
     if not words:
         return np.array([], np.uint64)
-    parts = zip(*(words[i:] for i in range(size))) if len(words) >= size else [words]
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(s), 42) for s in parts], np.uint64))
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(_PRIME) + h[k : k + n]
+    return np.unique(_mixed(out))
+
+
+def fingerprint(hashes, bits: int = BITS) -> bytes:
+    """SimHash of distinct shingles: a bit is set if over half of them have it."""
+    import numpy as np
+
+    if not len(hashes):
+        return bytes(bits // 8)
+    places, bit_of, ones = np.arange(8) * 256, np.arange(256)[:, None] >> np.arange(8) & 1, []
+    for i in range(bits // 64):
+        counts = np.zeros(2048, np.int64)
+        for at in range(0, len(hashes), STEP):
+            part = hashes[at : at + STEP]
+            h = _mixed(part + np.uint64((i * _PRIME) & 0xFFFFFFFFFFFFFFFF))
+            counts += np.bincount((h.view(np.uint8).reshape(-1, 8) + places).ravel(), minlength=2048)
+        ones.append((counts.reshape(8, 256) @ bit_of).ravel())
+    return np.packbits(2 * np.concatenate(ones) > len(hashes)).tobytes()
 
 
 def jaccard(a, b) -> float:
@@ -46,8 +107,14 @@ def jaccard(a, b) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def radius(least: float, bits: int = BITS, slack: float = 4.4) -> int:
+    """Bits in which fingerprints of two sets at a similarity of ``least`` differ, with ``slack`` standard deviations."""
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
+
+
 def _signatures(rows: DataFrame, size: int) -> DataFrame:
-    """``doc_id, text_key, node`` (names the set) and ``bands`` for ``doc_id, text_key, text``."""
+    """``row, doc_id``, ``s1, s2`` (name the set), ``size``, ``fp`` and ``bands`` for ``row, doc_id, text``."""
 
     def run(batches):
         import numpy as np
@@ -55,76 +122,227 @@ def _signatures(rows: DataFrame, size: int) -> DataFrame:
         import xxhash
 
         draw = np.random.default_rng(42)
-        flip, times = (draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
-        times |= np.uint64(1)
+        flip, times = (draw.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) for _ in range(2))
+        times |= np.uint32(1)
+        weights = draw.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
         for b in batches:
-            nodes, bands = [], []
+            names, sizes, fps, bands = [], [], [], []
             for text in b.column(2).to_pylist():
                 h = shingles(text, size)
-                least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-                for i in range(0, len(h), STEP):
-                    least = np.minimum(least, ((h[i : i + STEP, None] ^ flip) * times).min(axis=0))
-                nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
-                bands.append([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)])
-            keys = np.array(bands, np.uint64).reshape(-1, BANDS).view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "bands"])
+                names.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+                fps.append(fingerprint(h))
+                if len(h):
+                    low = (h >> np.uint64(32)).astype(np.uint32)
+                    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint64)
+                    for i in range(0, len(low), STEP):
+                        least = np.minimum(least, ((low[i : i + STEP] ^ flip) * times).min(axis=1))
+                    keys = _mixed((least.reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64))
+                    bands.append(keys.view(np.int64))
+                else:
+                    bands.append([])
+            named = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "s1", "s2", "size", "fp", "bands"],
+            )
+
+    return rows.mapInArrow(run, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, s1 long, s2 long, size int, fp binary, bands array<long>")
+
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, node long, bands array<long>")
+class Near:
+    """Whether members may be similar, by the sizes of their sets and by their fingerprints."""
 
+    def __init__(self, least: float):
+        self.least, self.far, self.wide = least, radius(least), radius(least, slack=8.8)
 
-def _checked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of the pairs ``a, b`` whose texts are similar."""
-    pairs = materialize(pairs, "similar_pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = nodes.join(ends, "node").select("node", "text_key")
-    texts = materialize(rows.select("text_key", "text").join(keys, "text_key").groupBy("node").agg(F.min("text").alias("text")), "similar_texts")
+    def search(self, size: int) -> int:
+        return self.far if size >= FEW / self.least else self.wide
+
+    def may(self, x: int, y: int, n: int, m: int) -> bool:
+        few, many = min(n, m), max(n, m)
+        return few >= self.least * many and (x ^ y).bit_count() <= (self.far if few >= FEW else self.wide)
+
+
+def leaders(fps: list[bytes], sizes: list[int], near: Near) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs of a leader's place and a member's that is near it, and all leaders' places."""
+    import numpy as np
+
+    from .simhash import BKTree
+
+    values = [int.from_bytes(f, "big") for f in fps]
+    if len(values) == 2:
+        return ([(0, 1)], [0]) if near.may(*values, *sizes) else ([], [0, 1])
+    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
+    order = np.argsort((bits != (2 * bits.sum(axis=0, dtype=np.int64) > len(fps))).sum(axis=1), kind="stable").tolist()
+    tree, at, pairs = BKTree(), {}, []
+    for i in order:
+        v, n = values[i], sizes[i]
+        close = [(((m ^ v).bit_count()), j) for m in tree.within(v, near.search(n)) for j in at[m] if near.may(v, m, n, sizes[j])]
+        if close:
+            pairs.append((min(close)[1], i))
+        elif v in at:
+            at[v].append(i)
+        else:
+            tree.add(v)
+            at[v] = [i]
+    return pairs, [j for js in at.values() for j in js]
+
+
+def _led(members: DataFrame, max_part: int, least: float) -> DataFrame:
+    """``a, b``: a leader's label and a member's; with null ``b``, and ``k, fp, size``, the leaders of crowded buckets."""
+    parts = F.ceil(F.col("n") / max_part)
+    dealt = members.withColumn("task", F.xxhash64("k", F.pmod(F.xxhash64("label"), parts)))
+    near = Near(least)
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            near = [jaccard(shingles(x, size), shingles(y, size)) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar_links")
-
-
-def links(nodes: DataFrame, rows: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
-    """``a, b``: links that join all of the sets that chains of similar candidates join."""
-    bucket = ["t", "k"]
-    members = nodes.select("node", F.posexplode("bands").alias("t", "k"))
-    shared = members.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(members.join(shared, bucket), "similar_members")
-    known = members.groupBy("node").agg(F.sum("n").alias("known"))  # the text that others were made from shares most bands
-    head = members.join(known, "node").groupBy(*bucket).agg(F.max(F.struct("known", "node")).alias("h")).select(*bucket, F.col("h.node").alias("head"))
-    head = materialize(head, "similar_heads")
-
-    def pairs(df, x, y):
-        return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-
-    first = _checked(pairs(members.join(head, bucket).filter("node <> head"), "node", "head"), nodes, rows, size, least)
-    roots = connected_components(first)
-    placed = members.select("node", *bucket).join(roots, "node", "left").select("node", *bucket, F.coalesce("root", "node").alias("root"))
+        for t in sorted_runs(batches, "task"):
+            pairs, heads = leaders(t.column("fp").to_pylist(), t.column("size").to_pylist(), near) if t.num_rows > 1 else ([], [0])
+            heads = heads if t.column("n")[0].as_py() > max_part else []
+            label = t.column("label").combine_chunks()
+            first = pa.array([a for a, _ in pairs] + heads, pa.int64())
+            second = pa.array([b for _, b in pairs] + [None] * len(heads), pa.int64())
+            if len(first):
+                yield pa.RecordBatch.from_arrays([label.take(first), label.take(second), *(t.column(c).combine_chunks().take(first) for c in ("k", "fp", "size"))], names=["a", "b", "k", "fp", "size"])
+
+    kind = members.schema["label"].dataType.simpleString()
+    dealt = dealt.select("task", "label", "fp", "size", "k", "n").repartition("task").sortWithinPartitions("task", "label")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}, k long, fp binary, size int")
+
+
+def _apart(members: DataFrame, roots: DataFrame, max_part: int, least: float) -> DataFrame:
+    """``a, b``: labels of members of one bucket that may be similar and that ``roots`` (``node, root``) leaves apart."""
+    placed = members.join(roots.withColumnRenamed("node", "label").hint("merge"), "label", "left").withColumn("root", F.coalesce("root", "label").row)
     placed = materialize(placed, "similar_placed")
-    heads = head.join(placed.select(F.col("node").alias("head"), *bucket, F.col("root").alias("head_root")), ["head", *bucket])
-    apart = placed.join(heads, bucket).filter("root <> head_root").select(*bucket, F.col("node").alias("x"), F.col("root").alias("x_root"), "head")
-    others = apart.join(placed, bucket).filter("root <> x_root AND node <> head")
-    return first.union(_checked(pairs(others, "x", "node"), nodes, rows, size, least))
+    own = placed.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c"))
+    buckets = own.groupBy("k").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("major"), F.sum("c").alias("total")).filter("roots > 1")
+    buckets = materialize(buckets.select("k", F.col("major.root").alias("major"), (F.col("total") - F.col("major.c")).alias("apart"), "total"), "similar_buckets")
+    total = buckets.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    rows = join_hot(placed.drop("n"), buckets.select("k", "major", "apart", F.col("total").alias("of"), "total"), ["k"], "total", total, "label").filter("major IS NOT NULL")
+    trees, chunks = F.ceil(F.col("apart") / max_part).cast("int"), F.ceil(F.col("of") / (8 * max_part)).cast("int")
+    hashed, every = F.xxhash64("label"), lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cols = ["k", "label", "fp", "size", "root", "major"]
+    in_tree = rows.filter("root <> major").select(*cols, F.lit(0).alias("side"), F.pmod(hashed, trees).cast("int").alias("p"), every(chunks).alias("q"))
+    asking = rows.select(*cols, F.lit(1).alias("side"), every(trees).alias("p"), F.pmod(hashed, chunks).cast("int").alias("q"))
+    dealt = in_tree.union(asking).withColumn("task", F.xxhash64("k", "p", "q")).select("task", "side", "label", F.col("label.row").alias("row"), "fp", "size", "root", (F.col("root") == F.col("major")).alias("in_major"))
+    near = Near(least)
+
+    def run(batches):
+        import pyarrow as pa
+
+        from .simhash import BKTree
+
+        for t in sorted_runs(batches, "task"):
+            cols = [t.column(c).to_pylist() for c in ("side", "row", "fp", "size", "root", "in_major")]
+            tree, at, pairs = BKTree(), {}, []
+            rows = [(i, side, row, int.from_bytes(fp, "big"), *rest) for i, (side, row, fp, *rest) in enumerate(zip(*cols))]
+            for i, side, row, v, n, root, _ in rows:
+                if not side:
+                    if v not in at:
+                        tree.add(v)
+                        at[v] = []
+                    at[v].append((i, row, n, root))
+            for i, side, row, v, n, root, major in rows if at else ():
+                if side:
+                    for m in tree.within(v, near.search(n)):
+                        pairs += [(j, i) for j, other, size, r in at[m] if r != root and (major or row > other) and near.may(v, m, n, size)]
+            label = t.column("label").combine_chunks()
+            for s in range(0, len(pairs), 100_000):
+                yield pa.RecordBatch.from_arrays([label.take(pa.array(x)) for x in zip(*pairs[s : s + 100_000])], names=["a", "b"])
+
+    kind = members.schema["label"].dataType.simpleString()
+    return dealt.repartition("task").sortWithinPartitions("task", "side", "row").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Those of the distinct pairs ``a, b`` whose texts (``row, text``) are similar. Each text goes to its leaders' tasks once; a leader of many has several."""
+    per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    dealt = join_hot(pairs, per.select("a", "n", F.col("n").alias("of")), ["a"], "n", pairs.count(), "b")
+    dealt = dealt.select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("of") / CHECKS))).alias("task"))
+    dealt = materialize(dealt, "similar_dealt")
+    heads = dealt.select("a", F.lit(None).cast(dealt.schema["b"].dataType).alias("b"), "task", F.col("a.row").alias("row")).distinct()
+    wanted = dealt.select("a", "b", "task", F.col("b.row").alias("row")).union(heads)
+    rows = wanted.join(texts.hint("merge"), "row").select("task", "a", "b", "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        head, own = None, None
+        for batch in batches:
+            near = []
+            for at, (row, b, text) in enumerate(zip(batch.column(1).field("row").to_pylist(), batch.column(2).is_null().to_pylist(), batch.column(3).to_pylist())):
+                found = shingles(text, size)
+                if b:
+                    head, own = row, found
+                elif row == head and jaccard(own, found) >= least:
+                    near.append(at)
+            yield batch.select(["a", "b"]).take(pa.array(near, pa.int64()))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    found = rows.repartition("task").sortWithinPartitions("task", "a", F.col("b").asc_nulls_first()).mapInArrow(run, f"a {kind}, b {kind}")
+    return materialize(found, "similar_links")
+
+
+def links(nodes: DataFrame, rows: DataFrame, size: int = SIZE, least: float = LEAST, max_part: int = MAX_PART) -> DataFrame:
+    """``node, root``: components over the links between similar nodes; those without a link are left out."""
+    bands = nodes.select("label", F.explode("bands").alias("k"))
+    shared = bands.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    total = nodes.count() * BANDS
+    shared = materialize(join_hot(bands, shared.select("k", "n", F.col("n").alias("of")), ["k"], "n", total, "label").filter("of IS NOT NULL").withColumnRenamed("of", "n"), "similar_shared")
+    members = materialize(shared.join(nodes.select("label", "fp", "size").hint("merge"), "label"), "similar_members")
+    discard(shared)
+    wanted = members.select(F.col("label.row").alias("row")).distinct()
+    texts = materialize(rows.select("row", "text").join(wanted.hint("merge"), "row", "left_semi"), "similar_texts")
+
+    found, level, before = [], members, math.inf
+    while True:
+        led = materialize(_led(level, max_part, least), "similar_leaders")
+        found.append(led.filter("b IS NOT NULL").select("a", "b"))
+        top = led.filter("b IS NULL").select(F.col("a").alias("label"), "k", "fp", "size")
+        crowded = top.count()
+        if not crowded or 2 * crowded > before:
+            break
+        # Few leaders are left of each crowded bucket; its count goes with it.
+        n = top.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        level = materialize(join_hot(top, n.select("k", "n", F.col("n").alias("of")), ["k"], "n", crowded, "label").withColumnRenamed("of", "n"), "similar_level")
+        before = crowded
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    pairs = materialize(pairs.distinct(), "similar_pairs")
+    roots = materialize(connected_components(_checked(pairs, texts, size, least)), "similar_roots")
+    seen = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    second = _apart(members, roots, max_part, least).select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    second = materialize(second.join(seen.hint("merge"), ["x", "y"], "left_anti").select("a", "b").distinct(), "similar_pairs")
+    if second.isEmpty():
+        return roots
+    more = _checked(second, texts, size, least)
+    discard(texts)
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST) -> DataFrame:
-    """``doc_id, component_id`` for each row: the least doc_id among all documents that steps of a shingle similarity of ``least`` or more reach.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, row_col: str | None = None, max_part: int = MAX_PART) -> DataFrame:
+    """``row, doc_id, component_id, first`` for each row.
 
-    Null ids, null and empty texts and repeated rows as in simhash.near_duplicates.
+    ``component_id``: the least doc_id among all documents that steps of a
+    shingle similarity of ``least`` or more reach. ``first`` is true for one row
+    of each group: that of the least doc_id, of repeated rows one. ``row``: the
+    long in ``row_col`` that tells the rows apart, or a number given here.
+    Null and empty texts are alike. Rows with a null doc_id link too, and come
+    after all others; a group of such rows only has a null component. Extra
+    columns are ignored. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = materialize(_signatures(rows, size), "similar_signatures")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands"))
+    # A node's label starts with its first row, so that a component's least label names the first of all its rows.
+    label = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
+    nodes = signed.groupBy("s1", "s2").agg(label.alias("label"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "similar_nodes")
-    roots = connected_components(links(nodes, rows, size, least))
-    named = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    component = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return signed.select("doc_id", "node").join(named.join(component, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    roots = links(nodes, rows, size, least, max_part).withColumnRenamed("node", "label")
+    named = nodes.select("s1", "s2", "n", "label").join(roots.hint("merge"), "label", "left").select("s1", "s2", "n", F.coalesce("root", "label").alias("root"))
+    total = signed.count()
+    found = join_hot(signed.select("row", "doc_id", "s1", "s2"), named, ["s1", "s2"], "n", total, "row")
+    return found.select("row", "doc_id", F.col("root.id").alias("component_id"), (F.col("root.row") == F.col("row")).alias("first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import mixing, packing, pii, quality, similar
+from ledgerflow.llm import mixing, packing, pii, quality, simhash
 from ledgerflow.llm.common import materialize
 from ledgerflow.llm.queries import tokenizer_path
 
@@ -18,13 +18,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): the one that names it. Of repeated rows (id and text) one stays; all rows with a null id stay."""
-    docs = docs.select(*COLUMNS)
-    named = similar.near_duplicates(docs).filter("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    named = materialize(named, "kept_ids")
-    once = docs.join(named.filter("n = 1"), "doc_id", "left_semi")
-    repeated = docs.join(named.filter("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(repeated).unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): the one of the least id, of repeated rows one. Rows with a null id stay only where no other row is like them."""
+    docs = docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    first = simhash.near_duplicates(docs, size=5, similarity=0.8, row_col="row").filter("first").select("row")
+    return docs.join(first.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,10 @@ ORDER = 3
 TRAIN_BYTES = 2_000_000
 #: Documents that are looked at to fill these, at most, for each language.
 TRAIN_DOCS = 2_000
+#: Bytes of the frozen tables at most; with so many languages that they would have more, contexts are shortened.
+MODEL_BYTES = 256 << 20
+#: The score is worked out as if a text had so many bytes at most: successive bytes aren't independent evidence.
+SCORE_BYTES = 40
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -79,22 +83,28 @@ class Model:
             bits += self.code_lengths(codes).sum(axis=0, dtype=np.float64)
             tail = (tail + piece)[-order:] if order else b""
         best = int(bits.argmin())
-        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
+        evidence = (bits[best] - bits) * min(1.0, SCORE_BYTES / len(data))
+        return self.langs[best], float(1 / np.exp2(np.maximum(evidence, -1000)).sum())
 
 
-def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
-    """The frozen model of each language's texts."""
+def train(texts: dict[str, list[str]], order: int = ORDER, model_bytes: int = MODEL_BYTES) -> Model:
+    """The frozen model of each language's texts; of no text a model that knows no language."""
     import numpy as np
 
-    langs = sorted(texts)
+    langs = sorted(lang for lang, own in texts.items() if any(own))
+    if not langs:
+        return Model([], [], [], [], [])
     counts = []  # for each order and language: codes and their counts
     for n in range(order + 1):
         own = []
         for lang in langs:
             codes = [_grams(t.encode(), order) & np.uint64((1 << 8 * (n + 1)) - 1) for t in texts[lang]]
-            own.append(np.unique(np.concatenate(codes), return_counts=True) if codes else (np.array([], np.uint64), np.array([], np.int64)))
+            own.append(np.unique(np.concatenate(codes), return_counts=True))
         counts.append(own)
     grams = [np.unique(np.concatenate([c for c, _ in own])) for own in counts]
+    while order > 1 and sum(map(len, grams)) * 8 * len(langs) > model_bytes:  # two tables of 4 bytes a language
+        order -= 1
+        grams, counts = grams[:-1], counts[:-1]
     contexts = [np.unique(g >> np.uint64(8)) for g in grams]
     lengths, escapes = [], []
     for n in range(order + 1):
@@ -122,21 +132,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> dict[str, list[str]]:
-    """Texts by language of documents that aren't held out: at most about ``train_docs`` a language by the hash of their ids, and of these so many as have ``train_bytes``."""
+    """Texts by language of documents that aren't held out: at most about ``train_docs`` a language by the hash of their ids, and of these so many as have ``train_bytes``. Texts of more bytes than that never train."""
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("i")))
     sizes = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not sizes:
         return {}
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_docs / n)))), F.col("l"))
     draw = F.pmod(F.xxhash64("i"), F.lit(1 << 20)) / (1 << 20)
-    few = known.filter(draw < share).select("i", "l", F.octet_length("t").alias("n")).collect()
-    chosen, left = [], dict.fromkeys(sizes, train_bytes)
-    for r in sorted(few, key=lambda r: (str(r["i"]), r["n"])):
-        if left[r["l"]] > 0 and r["n"] <= train_bytes:
+    few = known.filter((draw < share) & (F.octet_length("t") <= train_bytes))
+    # In order of the draw, documents are taken until they have the bytes: each language's last draw is all that goes into the second plan.
+    last, left = {}, dict.fromkeys(sizes, train_bytes)
+    for r in sorted(few.select(draw.alias("d"), "l", F.octet_length("t").alias("n")).collect()):
+        if left[r["l"]] > 0:
             left[r["l"]] -= r["n"]
-            chosen.append(r["i"])
-    ids = set(chosen)
-    rows = known.filter(draw < share).filter(F.col("i").isin(list(ids)) & (F.octet_length("t") <= train_bytes)).collect() if ids else []
+            last[r["l"]] = r["d"]
+    rows = few.filter(draw <= F.element_at(F.create_map(*(F.lit(x) for pair in last.items() for x in pair)), F.col("l"))).collect() if last else []
     out: dict[str, list[str]] = {lang: [] for lang in sizes}
     for r in rows:
         out[r["l"]].append(r["t"])
@@ -149,8 +159,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ``und`` with score 0 for null, empty and letterless texts, and if nothing was
     learned. Repeated rows get the same prediction each; of equally short codes
     the first language by name wins. Input columns named like the added ones are
-    replaced; an empty table gives an empty result. The model has a few MB, whatever the size of the corpus,
-    and is sent to the executors.
+    replaced; an empty table gives an empty result. The model has MODEL_BYTES at most,
+    whatever the size of the corpus, and is sent to the executors.
     """
     spark = docs.sparkSession
     docs = writable(docs.drop("lang_pred", "score"))

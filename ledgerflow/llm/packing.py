@@ -1,9 +1,10 @@
 """Packing documents into training sequences by cutting-stock column generation.
 
 1.  Documents are tokenized once, in Arrow batches, and cut into full pieces and
-    a rest. Each piece has a length class (its length rounded up to a unit) and
-    its rank within the class among its task's pieces. The pieces are written.
-2.  Only the histogram over classes comes to the driver: ``limit / unit`` rows.
+    a rest. Each piece has a length class (short lengths as they are, longer ones
+    rounded up a little) and its rank within the class among its task's pieces.
+    The pieces are written.
+2.  Only the histogram over classes comes to the driver: under ``limit`` rows.
     A linear program over patterns (which classes share a sequence) is solved by
     column generation: a knapsack dynamic program prices new patterns.
 3.  Patterns are taken a whole number of times; what is left is packed largest
@@ -12,6 +13,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -20,10 +22,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LIMIT = 2048
-UNIT = 4
+#: Widths of length classes, and the lengths that they go up to: short pieces have classes of their own, so that rounding costs under a percent of any.
+WIDTHS = ((64, 1), (256, 2), (math.inf, 8))
 END_ID = 1
-#: Words whose ids a Python worker keeps at most.
-CACHED_WORDS = 1_000_000
+#: Bytes of words and ids that a Python worker keeps at most, with what an entry takes besides; longer words than LONG_WORD aren't kept.
+CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 128 << 20, 200, 64
 SLICE_WORDS = 200_000
 MAX_ROUNDS = 1000
 #: The program stops with so small a share of sequences over a lower bound.
@@ -43,15 +46,14 @@ class Tokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.fast = Tokenizer.from_file(path), {}, False
+        self.tokenizer, self.words, self.bytes, self.fast = Tokenizer.from_file(path), {}, 0, False
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Words of lower-case letters can go to the merges at once, if this tokenizer treats letters as _BYTES says.
         probe = ["word", "\u00fcber\u00df", "\u00e9\u00e0\u00f1\u00ff"]
         self.fast = all(self.tokenizer.encode(w, add_special_tokens=False).ids == [t.id for t in self.tokenizer.model.tokenize("".join(_BYTES[b] for b in w.encode()))] for w in probe)
 
-    def _learn(self, missing: set[bytes]) -> None:
-        if len(self.words) + len(missing) > CACHED_WORDS:
-            self.words.clear()
+    def _learn(self, missing: set[bytes]) -> list[bytes]:
+        """Learns the words' ids and those of their parts; returns which of them are too long to keep."""
         # "Word," has the ids of "word" and of ","; only plain ASCII words are taken apart like this.
         # Words that hold an added token's text in any case stay as they are: the tokenizer finds these before it lower-cases.
         parts = {}
@@ -61,7 +63,8 @@ class Tokens:
             stem = low if w.isascii() and not any(a in low for a in self.added) else w
             tail = stem[-1:] if stem[-1:] in ".," and stem[-2:-1].isalpha() else ""
             parts[raw] = (stem[: len(stem) - len(tail)], tail)
-        new = [p.decode() for p in {p.encode() for pair in parts.values() for p in pair if p} if p not in self.words]
+        fresh = {p.encode() for pair in parts.values() for p in pair if p}.difference(self.words)
+        new = [p.decode() for p in fresh]
         if self.fast:
             tokenize = self.tokenizer.model.tokenize
             for w in new:
@@ -73,15 +76,23 @@ class Tokens:
         for raw, (stem, tail) in parts.items():
             if raw not in self.words:
                 self.words[raw] = self.words[stem.encode()] + (self.words[tail.encode()] if tail else b"")
+        fresh |= missing
+        self.bytes += sum(ENTRY_BYTES + len(w) + len(self.words[w]) for w in fresh)
+        return [w for w in fresh if len(w) > LONG_WORD]
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of UTF-8 text. Only ASCII white space parts words here; the tokenizer sees to any other."""
         words, out = text.split(), []
         for i in range(0, len(words), SLICE_WORDS):
             part = words[i : i + SLICE_WORDS]
-            if missing := set(part).difference(self.words):
-                self._learn(missing | set(part) if len(self.words) + len(missing) > CACHED_WORDS else missing)
+            missing = set(part).difference(self.words)
+            long = self._learn(missing) if missing else []
             out.append(b"".join(map(self.words.__getitem__, part)))
+            for w in long:
+                self.bytes -= ENTRY_BYTES + len(w) + len(self.words.pop(w))
+            if self.bytes > CACHE_BYTES:
+                self.words.clear()
+                self.bytes = 0
         return b"".join(out)
 
 
@@ -92,7 +103,13 @@ def tokens(path: str) -> Tokens:
     return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, unit: int = UNIT, keep_ids: bool = True) -> DataFrame:
+def length_class(length: int, limit: int) -> int:
+    """The length that a piece is taken to have: rounded up to its class's width, to ``limit`` at most."""
+    width = next(w for most, w in WIDTHS if length <= most)
+    return min(limit, -(-length // width) * width)
+
+
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, keep_ids: bool = True) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens``, the ``ids`` if wanted, and ``task, class, rank``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -115,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 for start in range(0, n, limit):
                     length = min(limit, n - start)
                     part = ids[4 * start : 4 * (start + length)]
-                    c = -(-length // unit)
+                    c = length_class(length, limit)
                     for name, v in zip(names, (row, start, length, zlib.crc32(part), n, c, seen[c])):
                         cols[name].append(v)
                     seen[c] += 1
@@ -238,7 +255,7 @@ def _slots(used: list[tuple[dict[int, int], int]]):
     return sorted(rows)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, unit: int = UNIT, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, keep_ids: bool = True) -> DataFrame:
     """One row per piece of a document: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if wanted, ``ids`` (unsigned 32-bit, little-endian).
 
     A document's ids end with id 1; each lies in exactly one piece. A sequence
@@ -248,10 +265,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     import numpy as np
 
-    cut = materialize(pieces(docs, tokenizer, id_col, text_col, limit, unit, keep_ids), "pieces")
+    cut = materialize(pieces(docs, tokenizer, id_col, text_col, limit, keep_ids), "pieces")
     counted = materialize(cut.groupBy("task", "class").agg(F.count(F.lit(1)).alias("n")), "piece_counts")
-    histogram = {r["class"]: r["n"] for r in counted.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # limit / unit rows
-    slots = _slots(patterns(histogram, limit // unit))
+    histogram = {r["class"]: r["n"] for r in counted.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # a row for each class
+    slots = _slots(patterns(histogram, limit))
     table = np.array(slots, dtype=np.int64).reshape(-1, 5)
     keys = (table[:, 0] << 48) + table[:, 1]
     before = Window.partitionBy("class").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

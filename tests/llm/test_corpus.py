@@ -1,8 +1,12 @@
+import random
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
+from test_similar import plain_components
 
-from ledgerflow.llm import chat, mixing, packing, pii, queries, sharding, simhash, urls
+from ledgerflow.llm import chat, mixing, packing, pii, queries, sharding, urls
 
 
 def test_targets_match_resharing(spark):
@@ -103,10 +107,9 @@ def test_pipeline_stages(spark, small):
     kept = {r.doc_id for r in queries.op9_quality(spark, small).filter("kept").collect()}
     assert {r.doc_id for r in good.collect()} == kept and good.columns == docs.columns
     unique = stages["simhash near-dedup"](spark, good, small)
-    own = {i: simhash.fingerprint(before[i].text.encode()) for i in kept}
     left = sorted(r.doc_id for r in unique.collect())
-    assert all((own[a] ^ own[b]).bit_count() > 4 for a in left for b in left if a < b)
-    assert all(any(b < a and (own[a] ^ own[b]).bit_count() <= 4 for b in kept) or a in left for a in kept)
+    rows = [(i, before[i].text) for i in sorted(kept)]
+    assert left == sorted({least for _, least in plain_components(rows)})  # five-word sets, similarity of 0.8, all pairs
     clean = stages["personal data"](spark, unique, small)
     for r in clean.collect():
         assert pii.base_spans(r.text) == [] and r.n_chars == len(r.text)
@@ -127,3 +130,27 @@ def test_pipeline_stages(spark, small):
 
 def test_tokenizer_path_is_a_parameter():
     assert packing.tokens(queries.tokenizer_path()).fast
+
+
+def test_short_documents_are_packed_with_little_padding():
+    rng = random.Random(6)
+    for lengths in ([1] * 100_000, [10] * 100_000, [rng.choice((1, 10, 300, 2048)) for _ in range(50_000)], [rng.randint(1, 2048) for _ in range(50_000)]):
+        histogram = Counter(packing.length_class(n, 2048) for n in lengths)
+        used = packing.patterns(histogram, 2048)
+        filled = Counter()
+        for pattern, times in used:
+            assert sum(c * n for c, n in pattern.items()) <= 2048
+            filled.update({c: n * times for c, n in pattern.items()})
+        assert filled == histogram
+        assert sum(lengths) >= 0.98 * 2048 * sum(times for _, times in used)
+
+
+def test_words_are_kept_by_bytes(monkeypatch):
+    path = queries.tokenizer_path()
+    own, plain = packing.Tokens(path), packing.Tokens(path)
+    long = "x" * 100 + " " + "Y" * 90 + ", short"
+    assert own.ids(long.encode()) == plain.ids(long.encode()) and max(map(len, own.words)) <= packing.LONG_WORD
+    assert own.bytes == sum(packing.ENTRY_BYTES + len(k) + len(v) for k, v in own.words.items())
+    monkeypatch.setattr(packing, "CACHE_BYTES", 500)
+    text = " ".join(f"word{i}" for i in range(100)).encode()
+    assert own.ids(text) == plain.ids(text) and not own.words and own.bytes == 0

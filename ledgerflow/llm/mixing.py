@@ -51,7 +51,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"),
         (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))).alias("draw"),
     )
-    sized = materialize(sized, "sized")
+    # Texts aren't written here: the words are counted once for the sums and once more for the rows.
     to = materialize(targets(sized.select("source", "size"), weights, max_repeat), "targets")
     if to.count() <= BROADCAST_SOURCES:
         to = F.broadcast(to)

@@ -51,6 +51,61 @@ def test_field_adds_what_like_words_show(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def field():
+    texts = [f"mail a{i}@b.example.com or +1 (2{i % 90 + 10}) 555-{1000 + i} and 4111111111111111 or 10.0.0.{i % 250} of {i} things, order 77{i:08}" for i in range(300)]
+    return pii.fit(sorted((*k, n) for k, n in Counter(c for t in texts for c in pii.contexts(pii.candidates(t, pii.base_spans(t)))).items()))
+
+
+def marginals(p, text):
+    nodes = pii.candidates(text, pii.base_spans(text))
+    return nodes, pii.infer(nodes, *pii.edges(nodes), p)
+
+
+@pytest.mark.parametrize("repeats", [1, 12, 100])
+def test_what_one_mention_shows_reaches_all_repeats(repeats):
+    p = field()
+    for shown, bare in (("+1 (269) 555-3296", "2695553296"), ("+1-269-555-3296", "269 555 3296")):
+        for gap in (" word" * 200 + " ", " ", ", "):
+            text = f"call {shown} now " + gap.join(["then " + bare] * repeats) + " and 7788776655 things"
+            nodes, q = marginals(p, text)
+            for n, row in zip(nodes, q):
+                own = n[4] == "2695553296"
+                assert (row[4] > pii.ACCEPT) == own, (n, row)
+    nodes, q = marginals(p, "just " + ", ".join(["2695553296"] * repeats))
+    assert (q.argmax(axis=1) == 0).all()
+
+
+def test_marginals_match_brute_force():
+    import itertools
+
+    p, rng = field(), random.Random(8)
+    words = ["+1 (269) 555-3296", "2695553296", "7788776655", "4111111111111111", "4012888888881881", "a1@b.example.com", "12", "far " * 10, "x"]
+    off = []
+    for _ in range(60):
+        text = " ".join(rng.choice(words) for _ in range(7))
+        nodes = pii.candidates(text, pii.base_spans(text))
+        if not 0 < len(nodes) <= 6:
+            continue
+        chain, groups = pii.edges(nodes)
+        share = [next(((0 if any(nodes[j][2] for j in g) else 1 / len(g)) for g in groups if i in g), 1) for i in range(len(nodes))]
+        want = np.zeros((len(nodes), 5))
+        for x in itertools.product(*([n[2]] if n[2] else range(5) for n in nodes)):
+            e = sum(p.chain[x[a]][x[b]] for a, b in chain)
+            e += sum(0 if n[2] else share[i] * p.shapes.get(n[3], [1, 0, 0, 0, 0])[x[i]] for i, n in enumerate(nodes))
+            e += sum(np.log(sum(np.exp(p.skip * sum(x[i] == h for i in g)) for h in range(5))) for g in groups)
+            want[range(len(nodes)), x] += np.exp(e)
+        want /= want.sum(axis=1, keepdims=True)
+        tree = len(chain) + sum(map(len, groups)) < len(nodes) + len(groups)
+        got = pii.infer(nodes, chain, groups, p)
+        if tree:
+            assert np.abs(got - want).max() < 1e-3, text
+        else:  # messages around loops count evidence twice: close on the whole, and right where the field is sure
+            off.append(np.abs(got - want).mean())
+            sure = want.max(axis=1) > 0.95
+            assert (got.argmax(axis=1) == want.argmax(axis=1))[sure].all(), text
+    assert sum(off) / len(off) < 0.05
+
+
 def test_pii_query_has_the_base(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     import hashlib

@@ -18,18 +18,19 @@ MAX_REPEAT_PERCENT = 50
 #: Texts with more distinct repeated windows than this find their places by sorting.
 FEW_REPEATS = 64
 
-#: Bounds on the probability of a bad vote: for good documents, for bad ones.
-MOST_OF_GOOD, MOST_OF_BAD = 0.02, 0.6
+#: What is expected before the data speak: the share of good documents, a rule's bad votes on good ones and on bad ones; and how much that weighs, as a share of the documents.
+GOOD, OF_GOOD, OF_BAD, WEIGHT = 0.85, 0.03, 0.3, 0.01
 
 #: For each rule its measure, the value up to which it votes "good" and the one from which it votes "bad"; between them it abstains.
+#: Repeated lines and odd word ends are found in good documents too: their votes weigh less, and other rules can overrule them.
 RULES = {
-    "symbols_per_word": ("n_symbols / n_words", 0.05, 0.25),
-    "repeated_share": ("n_repeat_words / n_words", 0.2, 0.4),
-    "duplicate_line_share": ("n_dup_lines / n_lines", 0.1, 0.5),
-    "upper_share": ("n_upper / word_chars", 0.15, 0.45),
-    "marks_per_word": ("n_marks / n_words", 0.1, 0.5),
-    "repeats_per_word": ("n_later_repeats / n_words", 0.1, 0.3),
-    "odd_word_ends": ("n_odd_ends / n_words", 0.3, 0.45),
+    "symbols_per_word": ("n_symbols / n_words", 0.05, 0.2),
+    "repeated_share": ("n_repeat_words / n_words", 0.1, 0.3),
+    "duplicate_line_share": ("n_dup_lines / n_lines", 0.1, 0.2),
+    "upper_share": ("n_upper / word_chars", 0.1, 0.3),
+    "marks_per_word": ("n_marks / n_words", 0.1, 0.4),
+    "repeats_per_word": ("n_later_repeats / n_words", 0.05, 0.2),
+    "odd_word_ends": ("n_odd_ends / n_words", 0.2, 0.3),
 }
 
 
@@ -91,26 +92,25 @@ def _vote(rule: str) -> Column:
     return F.when(share >= bad, -1).when(share <= good, 1).otherwise(0)
 
 
-def fit(patterns: list[tuple[list[int], int]], rules: int, rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
+def fit(patterns: list[tuple[list[int], int]], rules: int, rounds: int = 100) -> tuple[float, list[tuple[float, float]]]:
     """Expectation-maximisation over vote patterns and their counts: the share of good documents, and for each rule the probabilities of a bad vote, if it votes, for good and for bad documents.
 
-    Each rule stands for one kind of junk: it errs on few good documents
-    (MOST_OF_GOOD) and finds a part of the bad ones (MOST_OF_BAD). These bounds
-    keep the rounds from settling on one kind only, and a document without a bad
-    vote is never less likely to be good than the corpus. With no patterns the
-    starting values stay.
+    The expected values of above count as WEIGHT of the documents more. They
+    tell the two kinds apart at the start and keep a rule that never votes
+    where it began; nothing else bounds the estimates. With no patterns the
+    expected values stay.
     """
-    prior, weight = 0.8, 5.0
-    odds = [(0.005, 0.3)] * rules
-    for _ in range(rounds if patterns else 0):
-        n = good = 0.0
+    prior, odds = GOOD, [(OF_GOOD, OF_BAD)] * rules
+    n = sum(count for _, count in patterns)
+    weight = WEIGHT * n
+    for _ in range(rounds if n else 0):
+        good = 0.0
         seen = [[0.0, 0.0, 0.0, 0.0] for _ in range(rules)]  # bad votes and votes: of good documents, of bad ones
         for votes, count in patterns:
             logit = math.log(prior / (1 - prior))
             for v, (g, b) in zip(votes, odds):
                 logit += v and (math.log(g / b) if v < 0 else math.log((1 - g) / (1 - b)))
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
-            n += count
             good += p * count
             for v, s in zip(votes, seen):
                 if v:
@@ -119,11 +119,8 @@ def fit(patterns: list[tuple[list[int], int]], rules: int, rounds: int = 50) ->
                     if v < 0:
                         s[0] += p * count
                         s[2] += (1 - p) * count
-        prior = min(0.99, max(0.05, (good + 0.8 * weight) / (n + weight)))
-        odds = []
-        for gb, g, bb, b in seen:
-            of_good = min(MOST_OF_GOOD, max(1e-4, (gb + MOST_OF_GOOD * weight) / (g + weight)))
-            odds.append((of_good, min(MOST_OF_BAD, max(of_good, (bb + 0.3 * weight) / (b + weight)))))
+        prior = (good + GOOD * weight) / (n + weight)
+        odds = [((gb + OF_GOOD * weight) / (g + weight), (bb + OF_BAD * weight) / (b + weight)) for gb, g, bb, b in seen]
     return prior, odds
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -153,7 +154,32 @@ def test_em_weighs_rules():
     patterns = [([-1, 0], 50), ([0, -1], 50), ([-1, -1], 100), ([1, 1], 2000)]
     prior, odds = quality.fit(patterns, 2)
     assert prior > 0.8 and all(g < 0.01 < b for g, b in odds)
-    assert quality.fit([], 2)[0] == 0.8
+    assert quality.fit([], 2)[0] == quality.GOOD
+
+
+def test_one_weak_bad_vote_is_overruled():
+    # The third rule votes "bad" on good documents too, on its own; the others do only together, on bad ones.
+    patterns = [([1, 1, 1, 1], 8000), ([1, 1, -1, 1], 300), ([-1, -1, 1, -1], 500), ([-1, 1, -1, -1], 300), ([-1, -1, -1, 1], 200)]
+    prior, odds = quality.fit(patterns, 4)
+
+    def logit(votes):
+        return math.log(prior / (1 - prior)) + sum(math.log(g / b) if v < 0 else math.log((1 - g) / (1 - b)) for v, (g, b) in zip(votes, odds))
+
+    assert logit([1, 1, -1, 1]) > 0 > logit([-1, -1, -1, 1]) and logit([-1, -1, 1, -1]) < 0
+    assert abs(odds[2][0] - 300 / 8300) < 0.01 and abs(odds[2][1] - 0.5) < 0.05 and abs(prior - 8300 / 9300) < 0.01
+
+
+def test_rules_estimates_match_labelled_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    measured = quality.measures(spark.read.parquet(f"{sf}/documents.parquet")).filter("quality_measures.n_words > 0")
+    votes = measured.select("doc_id", *(quality._vote(r).alias(f"v{i}") for i, r in enumerate(quality.RULES)))
+    rows = [list(r) for r in votes.collect()]
+    prior, odds = quality.fit(list({tuple(p): (list(p), n) for p, n in Counter(tuple(r[1:]) for r in rows).items()}.values()), len(quality.RULES))
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    for i, (g, b) in enumerate(odds, 1):
+        for want, kind in ((g, 1), (b, 0)):
+            own = [r[i] for r in rows if label.get(r[0]) == kind and r[i]]
+            assert abs(want - sum(v < 0 for v in own) / len(own)) < (0.03 if kind else 0.2), (i, kind)
 
 
 def tokens(text):

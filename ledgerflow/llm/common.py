@@ -55,7 +55,9 @@ def join_hot(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: in
     hot = table.filter(F.col(n) > max(HOT_KEYS, total // HOT_KEYS)).select(*on, F.struct(*payload).alias("_hot"))
     part = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(by), F.lit(1 << 30))).otherwise(F.lit(0).cast("long"))
     spread = rows.join(F.broadcast(hot), on, "left").withColumn("_part", part)
-    cold = table.select(*on, F.lit(0).cast("long").alias("_part"), F.struct(*payload).alias("_cold"))
+    # Always 0, but not to the optimizer, which would drop a constant from the keys and so undo the dealing.
+    zero = F.pmod(F.xxhash64(*on), F.lit(1)).cast("long")
+    cold = table.select(*on, zero.alias("_part"), F.struct(*payload).alias("_cold"))
     out = spread.join(cold.hint("merge"), [*on, "_part"], "left")
     return out.select(*rows.columns, *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in payload))
 

@@ -11,9 +11,10 @@ shard's members meet in BK-trees whose radius holds a similarity of ``least``.
     majority fingerprint look for a leader in the tree and become one if none
     is near. Leaders of a crowded bucket's parts then do the same together.
     Pairs of a member and its leader are checked on their whole texts.
-4.  What that leaves apart within a bucket is looked up, in a second pass,
-    against all of the bucket. No link between candidates is lost, and a group
-    of copies of one text isn't compared pair by pair.
+4.  What that leaves apart within a bucket is looked up, in a second pass, in
+    trees against all of the bucket, and compared in the tasks that hold both
+    texts. Links come out of it, no rows of pairs. No link between candidates
+    is lost, and a group of copies of one text isn't compared pair by pair.
 """
 
 from __future__ import annotations
@@ -212,8 +213,31 @@ def _led(members: DataFrame, max_part: int, least: float) -> DataFrame:
     return dealt.mapInArrow(run, f"a {kind}, b {kind}, k long, fp binary, size int")
 
 
-def _apart(members: DataFrame, roots: DataFrame, max_part: int, least: float) -> DataFrame:
-    """``a, b``: labels of members of one bucket that may be similar and that ``roots`` (``node, root``) leaves apart."""
+class Lookup:
+    """The members of a bucket that are apart from its largest group, in a BK-tree."""
+
+    def __init__(self, near: Near):
+        from .simhash import BKTree
+
+        self.near, self.tree, self.at = near, BKTree(), {}
+
+    def add(self, member: tuple) -> None:
+        if member[0] not in self.at:
+            self.tree.add(member[0])
+            self.at[member[0]] = []
+        self.at[member[0]].append(member)
+
+    def find(self, member: tuple, major: bool, k: int):
+        """Members of other groups that may be similar, each pair in the first bucket that both are in, once."""
+        v, n, row, root, bands = member[:5]
+        for m in self.tree.within(v, self.near.search(n)) if self.at else ():
+            for other in self.at[m]:
+                if other[3] != root and (major or row > other[2]) and self.near.may(v, m, n, other[1]) and k == next(x for x, y in zip(bands, other[4]) if x == y):
+                    yield other
+
+
+def _apart(members: DataFrame, roots: DataFrame, texts: DataFrame, size: int, max_part: int, least: float) -> DataFrame | None:
+    """``a, b``: labels of similar members of one bucket that ``roots`` (``node, root``) leaves apart; None if there can't be any."""
     placed = members.join(roots.withColumnRenamed("node", "label").hint("merge"), "label", "left").withColumn("root", F.coalesce("root", "label").row)
     placed = materialize(placed, "similar_placed")
     own = placed.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -223,37 +247,68 @@ def _apart(members: DataFrame, roots: DataFrame, max_part: int, least: float) ->
     rows = join_hot(placed.drop("n"), buckets.select("k", "major", "apart", F.col("total").alias("of"), "total"), ["k"], "total", total, "label").filter("major IS NOT NULL")
     trees, chunks = F.ceil(F.col("apart") / max_part).cast("int"), F.ceil(F.col("of") / (8 * max_part)).cast("int")
     hashed, every = F.xxhash64("label"), lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cols = ["k", "label", "fp", "size", "root", "major"]
+    cols = ["k", "label", "fp", "size", "bands", "root", "major"]
     in_tree = rows.filter("root <> major").select(*cols, F.lit(0).alias("side"), F.pmod(hashed, trees).cast("int").alias("p"), every(chunks).alias("q"))
     asking = rows.select(*cols, F.lit(1).alias("side"), every(trees).alias("p"), F.pmod(hashed, chunks).cast("int").alias("q"))
-    dealt = in_tree.union(asking).withColumn("task", F.xxhash64("k", "p", "q")).select("task", "side", "label", F.col("label.row").alias("row"), "fp", "size", "root", (F.col("root") == F.col("major")).alias("in_major"))
+    dealt = in_tree.union(asking).select(F.xxhash64("k", "p", "q").alias("task"), "side", F.col("label.row").alias("row"), "label", "fp", "size", "root", (F.col("root") == F.col("major")).alias("major"), "k", "bands")
     near = Near(least)
 
-    def run(batches):
-        import pyarrow as pa
+    def read(batch):
+        """(side, major, bucket, task) and the member of each row."""
+        cols = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("task", "side", "major", "k", "fp", "size", "row", "root", "bands"))
+        return [(task, side, major, k, (int.from_bytes(fp, "big"), n, row, root, bands)) for task, side, major, k, fp, n, row, root, bands in zip(*cols)]
 
-        from .simhash import BKTree
+    def asked(batches):
+        """Rows that are part of a pair to be compared: only their texts are fetched."""
+        import pyarrow as pa
 
         for t in sorted_runs(batches, "task"):
-            cols = [t.column(c).to_pylist() for c in ("side", "row", "fp", "size", "root", "in_major")]
-            tree, at, pairs = BKTree(), {}, []
-            rows = [(i, side, row, int.from_bytes(fp, "big"), *rest) for i, (side, row, fp, *rest) in enumerate(zip(*cols))]
-            for i, side, row, v, n, root, _ in rows:
-                if not side:
-                    if v not in at:
-                        tree.add(v)
-                        at[v] = []
-                    at[v].append((i, row, n, root))
-            for i, side, row, v, n, root, major in rows if at else ():
+            lookup, marked = Lookup(near), set()
+            for i, (_, side, major, k, member) in enumerate(read(t)):
                 if side:
-                    for m in tree.within(v, near.search(n)):
-                        pairs += [(j, i) for j, other, size, r in at[m] if r != root and (major or row > other) and near.may(v, m, n, size)]
-            label = t.column("label").combine_chunks()
-            for s in range(0, len(pairs), 100_000):
-                yield pa.RecordBatch.from_arrays([label.take(pa.array(x)) for x in zip(*pairs[s : s + 100_000])], names=["a", "b"])
+                    found = [other[5] for other in lookup.find(member, major, k)]
+                    marked.update(found and [i, *found])
+                else:
+                    lookup.add((*member, i))
+            if marked:
+                yield from t.take(pa.array(sorted(marked))).combine_chunks().to_batches()
 
-    kind = members.schema["label"].dataType.simpleString()
-    return dealt.repartition("task").sortWithinPartitions("task", "side", "row").mapInArrow(run, f"a {kind}, b {kind}")
+    def compared(batches):
+        import pyarrow as pa
+
+        last, lookup, parent = None, None, {}
+
+        def find(x):
+            while (p := parent.get(x, x)) != x:
+                x = p
+            return x
+
+        for batch in batches:
+            links = []
+            labels, texts = batch.column(batch.schema.get_field_index("label")).to_pylist(), batch.column(batch.schema.get_field_index("text")).to_pylist()
+            for label, text, (task, side, major, k, member) in zip(labels, texts, read(batch)):
+                if task != last:
+                    last, lookup, parent = task, Lookup(near), {}
+                own = shingles(text, size)
+                if not side:
+                    lookup.add((*member, own, label))
+                    continue
+                for other in lookup.find(member, major, k):
+                    x, y = find(member[3]), find(other[3])
+                    if x != y and jaccard(own, other[5]) >= least:
+                        parent[x] = y
+                        links.append((other[6], label))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], label_type) for i in range(2)], names=["a", "b"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    label_type, kind = to_arrow_type(members.schema["label"].dataType), members.schema["label"].dataType.simpleString()
+    order = ["task", "side", "row"]
+    wanted = materialize(dealt.repartition("task").sortWithinPartitions(*order).mapInArrow(asked, dealt.schema), "similar_asked")
+    if wanted.isEmpty():
+        return None
+    together = wanted.join(texts.hint("merge"), "row").repartition("task").sortWithinPartitions(*order)
+    return materialize(together.mapInArrow(compared, f"a {kind}, b {kind}"), "similar_links")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -291,7 +346,7 @@ def links(nodes: DataFrame, rows: DataFrame, size: int = SIZE, least: float = LE
     shared = bands.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     total = nodes.count() * BANDS
     shared = materialize(join_hot(bands, shared.select("k", "n", F.col("n").alias("of")), ["k"], "n", total, "label").filter("of IS NOT NULL").withColumnRenamed("of", "n"), "similar_shared")
-    members = materialize(shared.join(nodes.select("label", "fp", "size").hint("merge"), "label"), "similar_members")
+    members = materialize(shared.join(nodes.select("label", "fp", "size", "bands").hint("merge"), "label"), "similar_members")
     discard(shared)
     wanted = members.select(F.col("label.row").alias("row")).distinct()
     texts = materialize(rows.select("row", "text").join(wanted.hint("merge"), "row", "left_semi"), "similar_texts")
@@ -313,13 +368,10 @@ def links(nodes: DataFrame, rows: DataFrame, size: int = SIZE, least: float = LE
         pairs = pairs.union(more)
     pairs = materialize(pairs.distinct(), "similar_pairs")
     roots = materialize(connected_components(_checked(pairs, texts, size, least)), "similar_roots")
-    seen = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    second = _apart(members, roots, max_part, least).select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    second = materialize(second.join(seen.hint("merge"), ["x", "y"], "left_anti").select("a", "b").distinct(), "similar_pairs")
-    if second.isEmpty():
-        return roots
-    more = _checked(second, texts, size, least)
+    more = _apart(members, roots, texts, size, max_part, least)
     discard(texts)
+    if more is None:
+        return roots
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 

@@ -35,14 +35,37 @@ def term_regressions(log: DataFrame, manifest_term: int) -> DataFrame:
 
 
 def ledger(events: DataFrame) -> DataFrame:
-    """Certificates by serial: issued once, revoked at the first revocation after that."""
-    issued = events.filter("kind = 'issue'").groupBy("serial").agg(F.min("idx").alias("issued_at"))
-    revoked = events.filter("kind = 'revoke'").groupBy("serial").agg(F.min("idx").alias("revoked_at"))
-    return issued.join(revoked, "serial", "left").select("serial", "issued_at", F.when(F.col("revoked_at") > F.col("issued_at"), F.col("revoked_at")).alias("revoked_at"))
+    """Certificates by serial: issued first at ``issued_at``; each later revocation overwrites ``revoked_at``, earlier ones found no such serial."""
+    issued, revoked = F.min(F.when(F.col("kind") == "issue", F.col("idx"))), F.max(F.when(F.col("kind") == "revoke", F.col("idx")))
+    by = events.groupBy("serial").agg(issued.alias("issued_at"), revoked.alias("_last")).filter("issued_at IS NOT NULL")
+    return by.select("serial", "issued_at", F.when(F.col("_last") > F.col("issued_at"), F.col("_last")).alias("revoked_at"))
 
 
 def unknown_revocations(events: DataFrame) -> DataFrame:
-    return events.filter("kind = 'revoke'").join(events.filter("kind = 'issue'"), "serial", "left_anti").select("serial", "idx")
+    """Revocations that are answered with ``serial_not_found``: of serials not issued before them."""
+    issued = events.filter("kind = 'issue'").groupBy("serial").agg(F.min("idx").alias("_issued"))
+    return events.filter("kind = 'revoke'").join(issued, "serial", "left").filter("_issued IS NULL OR idx < _issued").select("serial", "idx")
+
+
+def verified(manifest: DataFrame, stored: DataFrame, log: DataFrame, snapshot_index: int, term: int) -> DataFrame:
+    """All problems of a backup as ``problem, at``: of its objects, keys, the log's continuity and its terms."""
+    parts = (
+        object_problems(manifest, stored).select("problem", F.col("key_suffix").alias("at")),
+        bad_keys(manifest).select(F.lit("bad_key").alias("problem"), F.col("key_suffix").alias("at")),
+        gaps(log, snapshot_index).select(F.lit("gap").alias("problem"), F.col("idx").cast("string").alias("at")),
+        term_regressions(log, term).select(F.lit("term_regression").alias("problem"), F.col("idx").cast("string").alias("at")),
+    )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def created(log: DataFrame, group: str) -> DataFrame:
+    """A backup's manifest row for each ``group``: its entries' range, number, bytes and last term."""
+    return log.groupBy(group).agg(F.min("idx").alias("first_index"), F.max("idx").alias("last_index"), F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("command")).cast("long").alias("bytes"), F.max_by("term", "idx").alias("last_term"))
+
+
+def next_serials(events: DataFrame) -> DataFrame:
+    """The serial that the next certificate gets: one more than the highest issued."""
+    return events.filter("kind = 'issue'").agg((F.coalesce(F.max("serial"), F.lit(0)) + 1).alias("next_serial"))
 
 
 def crl(certificates: DataFrame) -> DataFrame:

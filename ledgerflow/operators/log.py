@@ -102,9 +102,11 @@ def reassembly(parts: DataFrame) -> DataFrame:
     return held.groupBy("transfer_id").agg(F.bool_and(F.col("offset") == F.col("_held")).alias("complete"), F.sum("length").cast("long").alias("size"))
 
 
-def fetch_range(requests: DataFrame, log: DataFrame) -> DataFrame:
+def fetch_range(requests: DataFrame, log: DataFrame, block: int = 1024) -> DataFrame:
     """For ``(req_id, from_index, to_index)``: the entries served, from the first on and up to the first gap; none if the first isn't held."""
-    held = requests.join(log.select("idx"), F.col("idx").between(F.col("from_index"), F.col("to_index")))
+    # Requests meet entries by blocks of indices.
+    asked = requests.withColumn("_block", F.explode(F.sequence(F.floor(F.col("from_index") / block), F.floor(F.greatest("from_index", "to_index") / block))))
+    held = asked.join(log.select("idx", F.floor(F.col("idx") / block).alias("_block")), "_block").filter(F.col("idx").between(F.col("from_index"), F.col("to_index")))
     # Without a gap the k-th entry held is from_index + k - 1.
     rn = F.row_number().over(Window.partitionBy("req_id").orderBy("idx"))
     run = held.withColumn("_rn", rn).filter(F.col("idx") == F.col("from_index") + F.col("_rn") - 1).groupBy("req_id").agg(F.count(F.lit(1)).alias("n_entries"), F.max("idx").alias("last_served"))

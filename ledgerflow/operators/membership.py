@@ -68,6 +68,24 @@ def installed(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     return j.filter("_keep AND idx > last_included_index").select("node_id", "idx", "term")
 
 
+def stale_terms(messages: DataFrame) -> DataFrame:
+    """Messages (``node_id, seq, term``) and whether the node refuses them: their term is below the highest that it saw before."""
+    before = F.max("term").over(Window.partitionBy("node_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return messages.select("node_id", "seq", "term", F.coalesce(F.col("term") < before, F.lit(False)).alias("refused"))
+
+
+def pre_votes(events: DataFrame, timeout_us: int) -> DataFrame:
+    """Answers to pre-vote requests among a node's ``events`` (``node_id, seq, at_us, kind, up_to_date``): granted if the candidate's log is new enough and no leader was heard for the election timeout. Asking changes nothing."""
+    heard = F.last(F.when(F.col("kind") == "heartbeat", F.col("at_us")), ignorenulls=True).over(Window.partitionBy("node_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    sticky = F.coalesce(F.col("at_us") - heard < timeout_us, F.lit(False))
+    return events.withColumn("_sticky", sticky).filter("kind = 'pre_vote'").select("node_id", "seq", F.col("_sticky").alias("leader_known"), (~F.col("_sticky") & F.col("up_to_date")).alias("granted"))
+
+
+def voters_only(responses: DataFrame, members: DataFrame) -> DataFrame:
+    """Responses of voting members; learners and strangers don't count."""
+    return responses.join(members.filter("NOT is_learner").select(F.col("node_id").alias("voter_id")), "voter_id", "left_semi")
+
+
 def pending_outside(progress: DataFrame, members: DataFrame) -> DataFrame:
     """Peers with progress that are no members any more."""
     return progress.join(members.select("node_id"), "node_id", "left_anti")

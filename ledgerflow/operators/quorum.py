@@ -13,11 +13,11 @@ def majority_match(progress: DataFrame) -> DataFrame:
 
 
 def commit_index(progress: DataFrame, log: DataFrame, current_term: int, commit: int = 0) -> DataFrame:
-    """Per cluster the new commit index: the last entry of the current term that a majority holds; else it stays."""
-    m = majority_match(progress)
-    own = log.filter(F.col("term") == current_term).select("idx")
-    found = m.join(own, F.col("idx") <= F.col("majority_index"), "left").groupBy("cluster_id", "majority_index").agg(F.max("idx").alias("n"))
-    return found.select("cluster_id", F.greatest(F.coalesce("n", F.lit(commit)), F.lit(commit)).cast("long").alias("commit_index"))
+    """Per cluster the new commit index: the last entry of the current term that a majority holds; else it stays. A term's entries follow each other without a gap, so its first and last one say which it has."""
+    own = log.filter(F.col("term") == current_term).agg(F.min("idx").alias("_a"), F.max("idx").alias("_b"))
+    m = majority_match(progress).crossJoin(F.broadcast(own))  # one row
+    n = F.when(F.col("majority_index") >= F.col("_a"), F.least("majority_index", "_b"))
+    return m.select("cluster_id", F.greatest(F.coalesce(n, F.lit(commit)), F.lit(commit)).cast("long").alias("commit_index"))
 
 
 def joint_commit(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -60,8 +60,22 @@ def first_success(answers: DataFrame) -> DataFrame:
     return answers.filter("returned").groupBy("request_id").agg(F.min(F.struct("finished", "answer_id")).alias("f")).select("request_id", F.col("f.answer_id").alias("answer_id"))
 
 
-def slow_followers(progress: DataFrame, commit: int, lag: int = 100) -> DataFrame:
-    return progress.filter(F.lit(commit) > F.col("match_index") + lag).select("node_id", (F.lit(commit) - F.col("match_index")).alias("lag"))
+def slow_followers(progress: DataFrame, log: DataFrame, lag: int = 100) -> DataFrame:
+    """Followers that are more than ``lag`` entries behind the log's last one."""
+    last = F.broadcast(log.agg(F.max("idx").alias("_last")))
+    return progress.crossJoin(last).select("node_id", (F.col("_last") - F.col("match_index")).alias("lag")).filter(F.col("lag") > lag)
+
+
+def joint_tally(responses: DataFrame) -> DataFrame:
+    """Per term and candidate the distinct voters of the old and the new configuration (``in_old, in_new``) that granted, of how many that answered; elected only by a majority of both."""
+    def voters(*tests):
+        test = F.lit(True)
+        for t in tests:
+            test = test & F.col(t)
+        return F.count_distinct(F.when(test, F.col("voter_id")))
+
+    g = responses.groupBy("term", "candidate_id").agg(voters("in_old", "vote_granted").alias("old_granted"), voters("in_old").alias("old_voters"), voters("in_new", "vote_granted").alias("new_granted"), voters("in_new").alias("new_voters"))
+    return g.withColumn("elected", (F.col("old_granted") * 2 > F.col("old_voters")) & (F.col("new_granted") * 2 > F.col("new_voters")))
 
 
 def status(total: Column, live: Column) -> Column:

@@ -145,7 +145,12 @@ def applied(entries: DataFrame, bad, policy: str = "halt", batch: int = 100) ->
     return ranked.select("idx", "term", "command", F.floor((F.col("_rank") - 1) / batch).cast("long").alias("batch"))
 
 
-def commit_waits(pending: DataFrame, commits: DataFrame) -> DataFrame:
+def commit_waits(pending: DataFrame, commits: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Outcome of pending operations (``op_id, idx, submitted, deadline``): completed at the first commit (``commit_index, at``) that covers them, if by the deadline, else timeout."""
-    first = pending.join(commits, pending.idx <= commits.commit_index, "left").groupBy("op_id", "idx", "deadline").agg(F.min("at").alias("at"))
+    both = pending.select("op_id", "idx", "deadline", F.lit(None).cast("long").alias("at")).unionByName(commits.select(F.lit(None).cast("long").alias("op_id"), F.col("commit_index").alias("idx"), F.lit(None).cast("long").alias("deadline"), F.col("at").cast("long").alias("at")))
+    both = both.withColumn("_block", F.floor(F.col("idx") / block))
+    # The least time at or after an index: within its block, and over all later blocks (a row each).
+    later = both.groupBy("_block").agg(F.min("at").alias("_t")).select("_block", F.min("_t").over(Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    own = F.min("at").over(Window.partitionBy("_block").orderBy(F.col("idx").desc()).rangeBetween(Window.unboundedPreceding, 0))
+    first = both.withColumn("_own", own).filter("op_id IS NOT NULL").join(later, "_block").withColumn("at", F.least("_own", "_later"))
     return first.select("op_id", "idx", F.when(F.col("at") <= F.col("deadline"), "completed").otherwise("timeout").alias("outcome"), F.when(F.col("at") <= F.col("deadline"), F.col("at")).alias("completed_at"))

@@ -44,8 +44,10 @@ def matching_prefix(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def stale_reads(writes: DataFrame, reads: DataFrame) -> DataFrame:
     """Reads that return less than some write of their key that had ended before they began (versions grow)."""
-    j = reads.join(writes.select("k", F.col("version").alias("w"), "ended"), "k").filter("ended <= began")
-    return j.groupBy("read_id", "version").agg(F.max("w").alias("needed")).filter("version < needed").select("read_id", "version", "needed")
+    w = writes.select("k", F.col("ended").alias("at"), F.lit(0).alias("_r"), F.lit(None).cast("long").alias("read_id"), F.lit(None).cast("long").alias("version"), F.col("version").alias("w"))
+    r = reads.select("k", F.col("began").alias("at"), F.lit(1).alias("_r"), "read_id", "version", F.lit(None).cast("long").alias("w"))
+    needed = F.max("w").over(Window.partitionBy("k").orderBy("at", "_r").rowsBetween(Window.unboundedPreceding, 0))
+    return w.unionByName(r).withColumn("needed", needed).filter("_r = 1 AND version < needed").select("read_id", "version", "needed")
 
 
 def commit_without_majority(logs: DataFrame, commit_index: int, nodes: int) -> DataFrame:

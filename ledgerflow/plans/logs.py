@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import log, quorum, replay, safety
+from ..operators import log, membership, quorum, replay, safety
 from .registry import query
 
 R = "ROWS UNBOUNDED PRECEDING"
@@ -86,9 +86,50 @@ def higher_term_stepdown(v):
     return quorum.step_down(v("vote_responses"), 48)
 
 
-@query("SELECT node_id, 1000 - match_index AS lag FROM progress WHERE 1000 > match_index + 100", "progress")
+@query("SELECT node_id, last - match_index AS lag FROM progress, (SELECT max(idx) AS last FROM log_entries) WHERE last > match_index + 100", "progress", "log_entries")
 def slow_followers(v):
-    return quorum.slow_followers(v("progress"), 1000)
+    return quorum.slow_followers(v("progress"), v("log_entries"))
+
+
+@query("""WITH r AS (SELECT *, voter_id % 3 <> 0 AS in_old, voter_id % 2 = 0 AS in_new FROM vote_responses),
+g AS (SELECT term, candidate_id, count(DISTINCT CASE WHEN in_old AND vote_granted THEN voter_id END) AS old_granted, count(DISTINCT CASE WHEN in_old THEN voter_id END) AS old_voters,
+  count(DISTINCT CASE WHEN in_new AND vote_granted THEN voter_id END) AS new_granted, count(DISTINCT CASE WHEN in_new THEN voter_id END) AS new_voters FROM r GROUP BY term, candidate_id)
+SELECT *, old_granted > old_voters / 2.0 AND new_granted > new_voters / 2.0 AS elected FROM g""", "vote_responses")
+def joint_vote_tally(v):
+    return quorum.joint_tally(v("vote_responses").withColumns({"in_old": F.col("voter_id") % 3 != 0, "in_new": F.col("voter_id") % 2 == 0}))
+
+
+@query("""WITH m AS (SELECT user_id AS node_id, event_id AS seq, event_id * 37 % 50 AS term FROM events)
+SELECT a.node_id, a.seq, a.term, EXISTS (SELECT 1 FROM m b WHERE b.node_id = a.node_id AND b.seq < a.seq AND b.term > a.term) AS refused FROM m a""")
+def stale_term_filter(v):
+    return membership.stale_terms(v("events").select(F.col("user_id").alias("node_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 37 % 50).alias("term")))
+
+
+PRE_VOTES = """e AS (SELECT user_id AS node_id, event_id AS seq, epoch_us(ts) AS at_us, event_type, event_id % 3 <> 0 AS up_to_date FROM events),
+p AS (SELECT a.*, coalesce((SELECT max(b.seq) FROM e b WHERE b.node_id = a.node_id AND b.seq < a.seq AND b.event_type = 'view'), -1) AS heard FROM e a WHERE event_type IN ('signup', 'purchase')),
+a AS (SELECT p.node_id, p.seq, coalesce(p.at_us - h.at_us < 3600000000, false) AS leader_known, p.up_to_date FROM p LEFT JOIN e h ON h.seq = p.heard)"""
+
+
+def _pre_votes(v):
+    kind = F.when(F.col("event_type") == "view", "heartbeat").when(F.col("event_type").isin("signup", "purchase"), "pre_vote")
+    e = v("events").select(F.col("user_id").alias("node_id"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), kind.alias("kind"), (F.col("event_id") % 3 != 0).alias("up_to_date"))
+    return membership.pre_votes(e, 3_600_000_000)
+
+
+@query(f"WITH {PRE_VOTES} SELECT node_id, seq, leader_known, NOT leader_known AND up_to_date AS granted FROM a")
+def leader_stickiness(v):
+    return _pre_votes(v)
+
+
+@query(f"WITH {PRE_VOTES} SELECT seq % 20 AS term, seq % 3 AS candidate_id, count(DISTINCT CASE WHEN NOT leader_known AND up_to_date THEN node_id END) AS granted, count(DISTINCT node_id) AS answers, count(DISTINCT CASE WHEN NOT leader_known AND up_to_date THEN node_id END) * 2 > 5 AS elected FROM a GROUP BY ALL")
+def pre_vote_tally(v):
+    r = _pre_votes(v).select((F.col("seq") % 20).alias("term"), (F.col("seq") % 3).alias("candidate_id"), F.col("node_id").alias("voter_id"), F.col("granted").alias("vote_granted"))
+    return quorum.vote_tally(r, 5)
+
+
+@query("SELECT term, candidate_id, voter_id, vote_granted FROM vote_responses WHERE voter_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 1)", "vote_responses")
+def learner_filter(v):
+    return membership.voters_only(v("vote_responses"), v("customer").select(F.col("c_custkey").alias("node_id"), (F.col("c_custkey") % 4 == 1).alias("is_learner"))).select("term", "candidate_id", "voter_id", "vote_granted")
 
 
 @query("""SELECT term AS read_id, sum(CASE WHEN vote_granted THEN 1 ELSE 0 END)::BIGINT AS acks, CAST(floor((count(*) + 1) / 2.0) AS BIGINT) AS needed,
@@ -316,26 +357,49 @@ def apply_skipping(v):
     return replay.applied(v("log_entries"), F.col("idx") % 997 == 0, "skip")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id % 20 AS register, event_id + 1 AS idx, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS n, CASE event_type WHEN 'signup' THEN 'WRITE' WHEN 'view' THEN 'READ' ELSE 'CAS' END AS op,
+  CAST((event_id + 1) % 3 AS VARCHAR) AS x, CAST((event_id + 2) % 3 AS VARCHAR) AS y FROM events),
+r AS (SELECT register, 0::BIGINT AS idx, 0::BIGINT AS n, '' AS reply, 0::BIGINT AS version, '' AS value FROM c WHERE n = 1
+  UNION ALL SELECT c.register, c.idx, c.n, CASE c.op WHEN 'WRITE' THEN 'OK' WHEN 'READ' THEN r.value ELSE CASE WHEN r.value = c.x THEN 'OK' ELSE 'FAILED' END END,
+    r.version + CASE WHEN c.op = 'WRITE' OR (c.op = 'CAS' AND r.value = c.x) THEN 1 ELSE 0 END, CASE WHEN c.op = 'WRITE' THEN c.x WHEN c.op = 'CAS' AND r.value = c.x THEN c.y ELSE r.value END
+  FROM r JOIN c ON c.register = r.register AND c.n = r.n + 1)
+SELECT register, idx, reply, version FROM r WHERE n > 0""")
 def register_cas(v):
     c = v("events").select((F.col("user_id") % 20).alias("register"), (F.col("event_id") + 1).alias("idx"), "event_type", F.col("value").cast("int").cast("string").alias("x"))
     cmd = F.when(F.col("event_type") == "signup", F.concat(F.lit("WRITE "), F.expr("string(idx % 3)"))).when(F.col("event_type") == "view", "READ").otherwise(F.concat_ws(" ", F.lit("CAS"), F.expr("string(idx % 3)"), F.expr("string((idx + 1) % 3)")))
     return replay.register_cas(c.withColumn("cmd", cmd))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id % 10 AS lock, event_id + 1 AS idx, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS n, CASE WHEN event_type IN ('signup', 'purchase') THEN 'acquire' WHEN event_type = 'error' THEN 'release' ELSE 'query' END AS op,
+  'u' || user_id % 4 AS owner, 5 + event_id % 40 AS entries FROM events),
+r AS (SELECT lock, 0::BIGINT AS idx, 0::BIGINT AS n, '' AS reply, NULL::VARCHAR AS held, 0::BIGINT AS expiry FROM c WHERE n = 1
+  UNION ALL SELECT c.lock, c.idx, c.n,
+    CASE c.op WHEN 'acquire' THEN CASE WHEN r.held IS NULL OR c.idx >= r.expiry THEN 'OK' ELSE 'LOCKED' END WHEN 'release' THEN CASE WHEN r.held = c.owner THEN 'OK' ELSE 'NOT_OWNER' END
+      ELSE CASE WHEN r.held IS NULL OR c.idx >= r.expiry THEN 'FREE' ELSE 'LOCKED:' || r.held END END,
+    CASE c.op WHEN 'acquire' THEN CASE WHEN r.held IS NULL OR c.idx >= r.expiry THEN c.owner ELSE r.held END WHEN 'release' THEN CASE WHEN r.held = c.owner THEN NULL ELSE r.held END
+      ELSE CASE WHEN c.idx >= r.expiry THEN NULL ELSE r.held END END,
+    CASE WHEN c.op = 'acquire' AND (r.held IS NULL OR c.idx >= r.expiry) THEN c.idx + c.entries ELSE r.expiry END
+  FROM r JOIN c ON c.lock = r.lock AND c.n = r.n + 1)
+SELECT lock, idx, reply FROM r WHERE n > 0""")
 def lock_replay(v):
     e = v("events")
     op = F.when(F.col("event_type").isin("signup", "purchase"), "acquire").when(F.col("event_type") == "error", "release").otherwise("query")
     return replay.locks(e.select((F.col("user_id") % 10).alias("lock"), (F.col("event_id") + 1).alias("idx"), op.alias("op"), F.concat(F.lit("u"), F.col("user_id") % 4).alias("owner"), (5 + F.col("event_id") % 40).alias("entries")))
 
 
-SESSION = """SELECT client_id, event_id AS idx, serial_number, 'applied' AS outcome FROM session_requests"""
+#: Serials with a repeat at every fourth request, of these every other one a gap instead; clients divisible by 9 start at 2.
+SERIAL = "n - CAST(floor(n / 4.0) AS BIGINT) + CASE WHEN n % 8 = 0 THEN 3 ELSE 0 END + CASE WHEN client_id % 9 = 0 THEN 1 ELSE 0 END"
 
 
-@query(SESSION, "session_requests")
+@query(f"""WITH RECURSIVE s AS (SELECT user_id AS client_id, event_id AS idx, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), q AS (SELECT client_id, idx, n, {SERIAL} AS serial_number FROM s),
+r AS (SELECT client_id, 0::BIGINT AS idx, 0::BIGINT AS n, 0::BIGINT AS serial_number, '' AS outcome, NULL::BIGINT AS last FROM q WHERE n = 1
+  UNION ALL SELECT q.client_id, q.idx, q.n, q.serial_number,
+    CASE WHEN r.last IS NULL THEN CASE WHEN q.serial_number = 1 THEN 'applied' ELSE 'rejected' END WHEN q.serial_number <= r.last THEN 'duplicate' WHEN q.serial_number > r.last + 1 THEN 'rejected' ELSE 'applied' END,
+    CASE WHEN r.last IS NULL THEN CASE WHEN q.serial_number = 1 THEN 1 END WHEN q.serial_number = r.last + 1 THEN q.serial_number ELSE r.last END
+  FROM r JOIN q ON q.client_id = r.client_id AND q.n = r.n + 1)
+SELECT client_id, idx, serial_number, outcome FROM r WHERE n > 0""")
 def session_dedup(v):
-    return replay.sessions(v("session_requests").withColumnRenamed("event_id", "idx"))
+    return replay.sessions(v("session_requests").withColumnRenamed("serial_number", "n").select("client_id", F.col("event_id").alias("idx"), F.expr(SERIAL).cast("long").alias("serial_number")))
 
 
 @query("SELECT idx, substring(cmd, 8) AS data FROM (SELECT event_id + 1 AS idx, CASE WHEN event_type = 'click' THEN 'APPEND ' || props ELSE 'NOP' END AS cmd FROM events) WHERE cmd LIKE 'APPEND %'")
@@ -343,11 +407,11 @@ def append_log(v):
     return replay.appended(v("events").select((F.col("event_id") + 1).alias("idx"), F.when(F.col("event_type") == "click", F.concat(F.lit("APPEND "), "props")).otherwise("NOP").alias("cmd")))
 
 
-@query("""WITH p AS (SELECT user_id AS op_id, max(event_id) AS idx, max(event_id) + 300 AS deadline FROM events GROUP BY user_id), c AS (SELECT event_id AS commit_index, event_id + event_id % 500 AS t FROM events WHERE event_id % 100 = 0),
+@query("""WITH p AS (SELECT user_id AS op_id, max(event_id) AS idx, max(event_id) + 300 AS deadline FROM events GROUP BY user_id), c AS (SELECT event_id AS commit_index, event_id + event_id % 500 AS t FROM events),
 f AS (SELECT op_id, idx, deadline, min(t) AS t FROM p LEFT JOIN c ON idx <= commit_index GROUP BY op_id, idx, deadline)
 SELECT op_id, idx, CASE WHEN t <= deadline THEN 'completed' ELSE 'timeout' END AS outcome, CASE WHEN t <= deadline THEN t END AS completed_at FROM f""")
 def commit_wait_outcome(v):
     e = v("events")
     p = e.groupBy(F.col("user_id").alias("op_id")).agg(F.max("event_id").alias("idx"), (F.max("event_id") + 300).alias("deadline"))
-    c = e.filter("event_id % 100 = 0").select(F.col("event_id").alias("commit_index"), (F.col("event_id") + F.col("event_id") % 500).alias("at"))
+    c = e.select(F.col("event_id").alias("commit_index"), (F.col("event_id") + F.col("event_id") % 500).alias("at"))
     return replay.commit_waits(p, c)

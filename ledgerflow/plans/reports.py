@@ -252,7 +252,10 @@ def replay_window(v):
     return transport.replay_window(v("events").select(F.col("user_id").alias("sender"), F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 501).alias("number")))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT user_id AS msg_id, event_id AS seq, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT msg_id, seq, n, false AS duplicate, t AS first FROM m WHERE n = 1
+  UNION ALL SELECT m.msg_id, m.seq, m.n, m.t - r.first <= 300000000, CASE WHEN m.t - r.first <= 300000000 THEN r.first ELSE m.t END FROM r JOIN m ON m.msg_id = r.msg_id AND m.n = r.n + 1)
+SELECT msg_id, seq, duplicate FROM r""")
 def message_dedup(v):
     return transport.duplicates(v("events").select(F.col("user_id").alias("msg_id"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")))
 
@@ -366,7 +369,27 @@ def term_regression(v):
     return backup.term_regressions(v("log_entries"), 7)
 
 
-LEDGER = "e AS (SELECT event_id AS idx, user_id AS serial, CASE WHEN event_type = 'signup' THEN 'issue' WHEN event_type = 'error' THEN 'revoke' END AS kind FROM events), i AS (SELECT serial, min(idx) AS issued_at FROM e WHERE kind = 'issue' GROUP BY serial), r AS (SELECT serial, min(idx) AS revoked FROM e WHERE kind = 'revoke' GROUP BY serial), l AS (SELECT serial, issued_at, CASE WHEN revoked > issued_at THEN revoked END AS revoked_at FROM i LEFT JOIN r USING (serial))"
+@query("""SELECT CASE WHEN idx % 10 = 0 THEN 'missing' WHEN idx % 11 = 0 THEN 'size_mismatch' ELSE 'checksum_mismatch' END AS problem, key_suffix AS at FROM manifest_objects WHERE idx % 10 = 0 OR idx % 11 = 0 OR idx % 13 = 0
+UNION ALL SELECT 'gap', CAST(idx + 1 AS VARCHAR) FROM log_entries WHERE idx > 10 AND idx % 150 = 0 AND idx + 1 <= (SELECT max(idx) FROM log_entries)
+UNION ALL SELECT 'term_regression', CAST(idx AS VARCHAR) FROM log_entries WHERE idx > 10 AND idx % 150 <> 0 AND (idx % 77 = 5 OR term > 7)""", "manifest_objects", "log_entries")
+def backup_verify(v):
+    m = v("manifest_objects")
+    stored = m.filter("idx % 10 <> 0").withColumns({"size_chars": F.when(F.col("idx") % 11 == 0, -1).otherwise(F.col("size_chars")), "checksum_md5": F.when(F.col("idx") % 13 == 0, "x").otherwise(F.col("checksum_md5"))})
+    log = v("log_entries").filter("idx > 10 AND idx % 150 <> 0").withColumn("term", F.when(F.col("idx") % 77 != 5, F.col("term")))
+    return backup.verified(m, stored, log, 10, 7)
+
+
+@query("SELECT entry_type AS \"group\", min(idx) AS first_index, max(idx) AS last_index, count(*) AS entries, CAST(sum(strlen(command)) AS BIGINT) AS bytes, max_by(term, idx) AS last_term FROM log_entries GROUP BY entry_type", "log_entries")
+def backup_create(v):
+    return backup.created(v("log_entries").withColumnRenamed("entry_type", "group"), "group")
+
+
+@query("SELECT max(user_id) + 1 AS next_serial FROM events WHERE event_type = 'signup'")
+def next_serial(v):
+    return backup.next_serials(_ledger_events(v))
+
+
+LEDGER = "e AS (SELECT event_id AS idx, user_id AS serial, CASE WHEN event_type = 'signup' THEN 'issue' WHEN event_type = 'error' THEN 'revoke' END AS kind FROM events), i AS (SELECT serial, min(idx) AS issued_at FROM e WHERE kind = 'issue' GROUP BY serial), l AS (SELECT serial, issued_at, (SELECT max(idx) FROM e WHERE e.kind = 'revoke' AND e.serial = i.serial AND e.idx > i.issued_at) AS revoked_at FROM i)"
 
 
 def _ledger_events(v):
@@ -383,7 +406,7 @@ def crl(v):
     return backup.crl(backup.ledger(_ledger_events(v)))
 
 
-@query(f"WITH {LEDGER} SELECT serial, idx FROM e WHERE kind = 'revoke' AND serial NOT IN (SELECT serial FROM i)")
+@query(f"WITH {LEDGER} SELECT serial, idx FROM e WHERE kind = 'revoke' AND NOT EXISTS (SELECT 1 FROM e b WHERE b.kind = 'issue' AND b.serial = e.serial AND b.idx < e.idx)")
 def unknown_revocations(v):
     return backup.unknown_revocations(_ledger_events(v))
 

@@ -6,7 +6,7 @@ import pytest
 from compare import differs
 
 from ledgerflow import plans
-from ledgerflow.operators import graph
+from ledgerflow.operators import backup, graph, log, replay
 from ledgerflow.sources.tables import load
 
 
@@ -43,3 +43,30 @@ def test_reliability_of_all_connected_pairs(spark, small):
     got = {(r.src, r.dst) for r in plans.queries()["path_reliability_all"](spark, small).collect()}
     assert got == set(want)
     assert not differs(spark, small, plans.queries()["path_reliability_all"], plans.oracle_sql()["path_reliability_all"])
+
+
+def test_commit_waits_by_small_blocks(spark):
+    import random
+
+    rng = random.Random(4)
+    pending = [(i, rng.randrange(60), rng.randrange(120)) for i in range(80)]
+    commits = [(rng.randrange(50), rng.randrange(100)) for _ in range(40)]
+    p, c = spark.createDataFrame(pending, "op_id long, idx long, deadline long"), spark.createDataFrame(commits, "commit_index long, at long")
+    want = {i: min([t for k, t in commits if k >= idx], default=None) for i, idx, _ in pending}
+    for block in (1, 7, 1000):
+        got = {r.op_id: (r.outcome, r.completed_at) for r in replay.commit_waits(p, c, block).collect()}
+        assert got == {i: ("completed", want[i]) if want[i] is not None and want[i] <= d else ("timeout", None) for i, _, d in pending}
+
+
+def test_fetch_range_by_small_blocks(spark):
+    entries = spark.createDataFrame([(i, i // 5) for i in range(1, 40) if i != 23], "idx long, term long")
+    asked = spark.createDataFrame([(1, 1, 10), (2, 20, 30), (3, 23, 25), (4, 38, 60), (5, 9, 8)], "req_id long, from_index long, to_index long")
+    for block in (3, 1024):
+        got = {r.req_id: (r.n_entries, r.last_served) for r in log.fetch_range(asked, entries, block).collect()}
+        assert got == {1: (10, 10), 2: (3, 22), 3: (0, None), 4: (2, 39), 5: (0, None)}
+
+
+def test_a_later_revocation_counts(spark):
+    events = spark.createDataFrame([(1, 7, "revoke"), (2, 7, "issue"), (3, 7, "revoke"), (4, 7, "revoke"), (5, 8, "issue"), (6, 9, "revoke")], "idx long, serial long, kind string")
+    assert {r.serial: (r.issued_at, r.revoked_at) for r in backup.ledger(events).collect()} == {7: (2, 4), 8: (5, None)}
+    assert {(r.serial, r.idx) for r in backup.unknown_revocations(events).collect()} == {(7, 1), (9, 6)}

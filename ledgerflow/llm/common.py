@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..sources.scratch import discard, materialize, shared_dir
 
-__all__ = ["discard", "extended", "fresh", "join_hot", "materialize", "shared_dir", "sorted_runs", "words", "writable"]
+__all__ = ["discard", "extended", "fresh", "join_hot", "mapped", "materialize", "shared_dir", "sorted_runs", "words", "writable"]
 
 #: Inside of a character class: the ASCII white space that separates words.
 SPACE = r"\x20\x09-\x0D"
@@ -34,6 +34,12 @@ def extended(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def mapped(df: DataFrame, run, ddl: str) -> DataFrame:
+    """``df.mapInArrow(run)``, which adds the columns of ``ddl``; columns go by plain names meanwhile, since dots in names break it."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, extended(plain, ddl)).toDF(*df.columns, *StructType.fromDDL(ddl).names)
+
+
 def words(text):
     """Array of the words of a string column; null text has none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sorted_runs
+from .common import join_hot, materialize, sorted_runs
 from .components import connected_components
 
 THRESHOLD = 0.98
@@ -177,9 +177,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    good = rows.filter("fine")
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "label", "embedding", "n", "first_id"), "vector_classes")
+    # Exact copies are told by two hashes of label and vector, 128 bits together: vectors themselves aren't shuffled for it.
+    keys = [F.xxhash64("label", "embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding", "label").alias("k2")]
+    good = materialize(rows.filter("fine").select("vec_id", *keys, F.monotonically_increasing_id().alias("row")), "vector_keys")
+    classes = rows.filter("fine").select("*", *keys).groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "label", "embedding", "n", "first_id"), "vector_classes")
+    names = classes.select("cid", F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("cid")).alias("label"))
 
     size = F.size("embedding").alias("dim")
     counted = classes.groupBy("label", size).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block)
@@ -257,10 +260,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     found = materialize(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, links long"), "vector_links")
     sums = found.filter("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-    roots = connected_components(found.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("cid"), "root")
-    named = classes.join(sums, "cid", "left").join(roots, "cid", "left").select("label", "embedding", "first_id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cid").alias("root"))
-    component = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(component, "root").select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
-    joined = good.join(named, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select("vec_id", "n_links", "component_id")
+    # A class's name starts with its least id, so that a component's least name is the component's.
+    edges = found.filter("b IS NOT NULL").select("a", "b")
+    for side in ("a", "b"):
+        edges = edges.join(names.select(F.col("cid").alias(side), F.col("label").alias(f"{side}_name")), side)
+    roots = connected_components(edges, "a_name", "b_name").select(F.col("node.cid").alias("cid"), F.col("root.id").alias("root_id"), F.lit(True).alias("linked"))
+    named = classes.drop("label", "embedding").join(sums, "cid", "left").join(roots, "cid", "left")
+    named = named.select("k1", "k2", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("linked"), F.col("root_id")).otherwise(F.col("first_id")).alias("component_id"))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = join_hot(good, named, ["k1", "k2"], "n", total, "row").select("vec_id", "n_links", "component_id")
     rest = rows.filter("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

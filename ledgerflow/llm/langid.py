@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, writable
+from .common import mapped, writable
 
 ORDER = 3
 #: Bytes of text that a language's tree is trained on, at most (by whole documents, so a last one may go over).
@@ -175,4 +175,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             found = [m.score(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, extended(docs, "lang_pred string, score double"))
+    return mapped(docs, run, "lang_pred string, score double")

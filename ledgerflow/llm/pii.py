@@ -18,7 +18,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, writable
+from .common import mapped, writable
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field's potentials are fitted on, at most about so many, taken by the hash of their text.
@@ -310,7 +310,7 @@ def find(docs: DataFrame, text_col: str = "text", redact: bool = False, fit_docs
                 columns[at] = pa.array(new, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], names=[*batch.schema.names, "pii_spans"])
 
-    return docs.mapInArrow(run, extended(docs, f"pii_spans {ddl}"))
+    return mapped(docs, run, f"pii_spans {ddl}")
 
 
 def _redacted(text: str | None, spans: list) -> str | None:

@@ -17,7 +17,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, writable
+from .common import fresh, mapped, writable
 
 #: Rules up to which the array is built on the driver and sent to the executors (about 100 bytes each).
 MAX_RULES = 1_000_000
@@ -103,7 +103,10 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     """
     spark = pages.sparkSession
     known = rules.filter("host IS NOT NULL AND path IS NOT NULL AND action IN ('allow', 'block')").groupBy("host", "path").agg(F.min(F.col("action") == "allow").alias("allow"))
-    pages = writable(pages).drop("host", "path", "rule", "verdict").withColumns({"host": host(F.col(url_col)), "path": path(F.col(url_col))})
+    pages = writable(pages)
+    url = fresh(pages, "judged_url")
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    pages = pages.withColumn(url, F.col(f"`{url_col}`")).select(*(F.col(f"`{c}`") for c in kept), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     lengths = sorted(r[0] for r in known.select(F.length("path")).distinct().collect())
     if known.count() > max_rules:
         return _judge_by_join(pages, known, lengths, default)
@@ -134,7 +137,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
             verdict = [("allow" if best[i][2] else "block") if i in best else default for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*b.schema.names, "rule", "verdict"])
 
-    return pages.mapInArrow(run, extended(pages, "rule string, verdict string"))
+    return mapped(pages, run, "rule string, verdict string")
 
 
 def candidates(host: str, path: str, lengths: list[int]) -> list[str]:

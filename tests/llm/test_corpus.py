@@ -154,3 +154,11 @@ def test_words_are_kept_by_bytes(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_BYTES", 500)
     text = " ".join(f"word{i}" for i in range(100)).encode()
     assert own.ids(text) == plain.ids(text) and not own.words and own.bytes == 0
+
+
+def test_urls_may_be_in_a_column_that_is_replaced(spark):
+    pages = spark.createDataFrame([(1, "http://A.net/x?y", "q"), (2, None, "q")], "page_id long, host string, `a.b` string")
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, action string")
+    for most in (10, 0):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, rules, url_col="host", max_rules=most).collect()}
+        assert got == {1: ("a.net", "/x", "net/", "block"), 2: ("", "", None, "allow")}

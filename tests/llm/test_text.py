@@ -43,7 +43,7 @@ def test_base_spans_match_plain_patterns():
 def test_field_adds_what_like_words_show(spark):
     text = "call +1 (269) 555-3296 4524132264652876 now"
     fit = [(i, f"mail a{i}@b.example.com or +1 (2{i % 90 + 10}) 555-{1000 + i} and 4111111111111111 here") for i in range(400)]
-    docs = spark.createDataFrame([*fit, (1000, text), (1001, None), (1002, ""), (1003, "plain words, 2.0")], "doc_id long, text string").withColumns({"PII_spans": F.lit(1), "a b-c": F.struct(F.lit(1).alias("x y")), "void": F.lit(None)})
+    docs = spark.createDataFrame([*fit, (1000, text), (1001, None), (1002, ""), (1003, "plain words, 2.0")], "doc_id long, text string").withColumns({"PII_spans": F.lit(1), "a b-c": F.struct(F.lit(1).alias("x y")), "void": F.lit(None), "a.b": F.lit(1)})
     got = {r.doc_id: r for r in pii.find(docs, redact=True).collect()}
     assert pii.base_spans(text) == []
     assert [(s.kind, text[s.start : s.end], s.base) for s in got[1000].pii_spans] == [("phone", "+1 (269) 555-3296", False), ("card", "4524132264652876", False)]

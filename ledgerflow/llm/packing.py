@@ -26,7 +26,7 @@ LIMIT = 2048
 WIDTHS = ((64, 1), (256, 2), (math.inf, 8))
 END_ID = 1
 #: Bytes of words and ids that a Python worker keeps at most, with what an entry takes besides; longer words than LONG_WORD aren't kept.
-CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 128 << 20, 200, 64
+CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 256 << 20, 200, 64
 SLICE_WORDS = 200_000
 MAX_ROUNDS = 1000
 #: The program stops with so small a share of sequences over a lower bound.
@@ -47,38 +47,51 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.bytes, self.fast = Tokenizer.from_file(path), {}, 0, False
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A character that all of them have, if there is one, rules most words out at once.
+        self.mark = next((bytes([c]) for c in self.added[0] if all(c in a for a in self.added)), b"") if self.added else b""
         # Words of lower-case letters can go to the merges at once, if this tokenizer treats letters as _BYTES says.
         probe = ["word", "\u00fcber\u00df", "\u00e9\u00e0\u00f1\u00ff"]
         self.fast = all(self.tokenizer.encode(w, add_special_tokens=False).ids == [t.id for t in self.tokenizer.model.tokenize("".join(_BYTES[b] for b in w.encode()))] for w in probe)
 
     def _learn(self, missing: set[bytes]) -> list[bytes]:
         """Learns the words' ids and those of their parts; returns which of them are too long to keep."""
-        # "Word," has the ids of "word" and of ","; only plain ASCII words are taken apart like this.
+        # "Word," has the ids of "word" and of ","; only plain ASCII words are lower-cased for it.
         # Words that hold an added token's text in any case stay as they are: the tokenizer finds these before it lower-cases.
-        parts = {}
+        words, parts, fresh, marks = self.words, [], set(), self.added
         for raw in missing:
-            w = raw.decode()
-            low = w.lower()
-            stem = low if w.isascii() and not any(a in low for a in self.added) else w
-            tail = stem[-1:] if stem[-1:] in ".," and stem[-2:-1].isalpha() else ""
-            parts[raw] = (stem[: len(stem) - len(tail)], tail)
-        fresh = {p.encode() for pair in parts.values() for p in pair if p}.difference(self.words)
-        new = [p.decode() for p in fresh]
-        if self.fast:
-            tokenize = self.tokenizer.model.tokenize
-            for w in new:
-                if _LETTERS.match(w):
-                    self.words[w.encode()] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(w if w.isascii() else "".join([_BYTES[b] for b in w.encode()]))])
-            new = [w for w in new if not _LETTERS.match(w)]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w.encode()] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        for raw, (stem, tail) in parts.items():
-            if raw not in self.words:
-                self.words[raw] = self.words[stem.encode()] + (self.words[tail.encode()] if tail else b"")
+            stem = raw
+            if raw.isascii():
+                low = raw.lower()
+                if self.mark not in low or not any(a in low for a in marks):
+                    stem = low
+                letter = stem[-2:-1].isalpha()
+            else:
+                letter = raw.endswith((b".", b",")) and raw.decode()[-2:-1].isalpha()
+            tail = stem[-1:] if letter and stem.endswith((b".", b",")) else b""
+            stem = stem[: len(stem) - len(tail)]
+            parts.append((raw, stem, tail))
+            fresh.add(stem)
+            if tail:
+                fresh.add(tail)
+        fresh = fresh.difference(words)
+        rest, tokenize = [], self.tokenizer.model.tokenize
+        for w in fresh:
+            if self.fast and w.isalpha() and w.islower():
+                words[w] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(w.decode())])
+            elif self.fast and _LETTERS.match(w.decode()):
+                words[w] = b"".join([t.id.to_bytes(4, "little") for t in tokenize("".join([_BYTES[b] for b in w]))])
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            words[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+        for raw, stem, tail in parts:
+            if raw not in words:
+                words[raw] = words[stem] + words[tail] if tail else words[stem]
         fresh |= missing
-        self.bytes += sum(ENTRY_BYTES + len(w) + len(self.words[w]) for w in fresh)
-        return [w for w in fresh if len(w) > LONG_WORD]
+        lengths = list(map(len, fresh))
+        self.bytes += ENTRY_BYTES * len(fresh) + 5 * sum(lengths)  # a word's ids have four times its bytes at most
+        return [w for w in fresh if len(w) > LONG_WORD] if max(lengths) > LONG_WORD else []
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of UTF-8 text. Only ASCII white space parts words here; the tokenizer sees to any other."""
@@ -89,7 +102,8 @@ class Tokens:
             long = self._learn(missing) if missing else []
             out.append(b"".join(map(self.words.__getitem__, part)))
             for w in long:
-                self.bytes -= ENTRY_BYTES + len(w) + len(self.words.pop(w))
+                self.bytes -= ENTRY_BYTES + 5 * len(w)
+                del self.words[w]
             if self.bytes > CACHE_BYTES:
                 self.words.clear()
                 self.bytes = 0

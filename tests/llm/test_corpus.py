@@ -150,7 +150,7 @@ def test_words_are_kept_by_bytes(monkeypatch):
     own, plain = packing.Tokens(path), packing.Tokens(path)
     long = "x" * 100 + " " + "Y" * 90 + ", short"
     assert own.ids(long.encode()) == plain.ids(long.encode()) and max(map(len, own.words)) <= packing.LONG_WORD
-    assert own.bytes == sum(packing.ENTRY_BYTES + len(k) + len(v) for k, v in own.words.items())
+    assert own.bytes == sum(packing.ENTRY_BYTES + 5 * len(k) for k in own.words)
     monkeypatch.setattr(packing, "CACHE_BYTES", 500)
     text = " ".join(f"word{i}" for i in range(100)).encode()
     assert own.ids(text) == plain.ids(text) and not own.words and own.bytes == 0

@@ -9,7 +9,9 @@ A conversation is worked on in chunks of turns. Those of one chunk, all but
 extreme ones, are decoded where they are. For longer ones each chunk first gives
 the best scores from each role before it to each role at its end (nine numbers),
 the chunks of a conversation are chained over these, and every chunk is then
-decoded between its fixed ends; no task holds a whole long conversation's lines.
+decoded between its fixed ends. A chunk whose turns repeat so much that it is
+crowded is dealt into pieces, which are chained like chunks; no task holds a
+whole long conversation's lines.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ MARKERS = {
 #: Probability that a marker names another role than the speaker's.
 MARKER_ERROR = 0.02
 CHUNK = 512
+#: A chunk of turns with more lines than so many a turn is crowded.
+CROWDED = 4
 LENGTHS = 12
 
 _NAMES = "|".join(sorted((n for names in MARKERS.values() for n in names), key=lambda n: (-len(n), n)))
@@ -119,48 +123,67 @@ def _counts(lines: DataFrame) -> tuple[dict, dict, dict]:
     at = known.groupBy("conv", "turn").agg(F.min("hmm_marker").alias("m"))
     after = at.select("conv", (F.col("turn") - 1).alias("turn"), F.col("m").alias("next"))
     steps = {(r[0], r[1]): r[2] for r in at.join(after, ["conv", "turn"]).groupBy("m", "next").count().collect()}
-    first = lines.groupBy("conv").agg(F.min(F.struct("turn", "hmm_marker")).alias("f")).filter("f.hmm_marker >= 0")
-    starts = {r[0]: r[1] for r in first.groupBy("f.hmm_marker").count().collect()}
+    first = lines.filter("conv IS NOT NULL").groupBy("conv").agg(F.min(F.struct("turn", "hmm_marker")).alias("f")).select("f.hmm_marker")
+    alone = lines.filter("conv IS NULL").select("hmm_marker")
+    starts = {r[0]: r[1] for r in first.unionAll(alone).filter("hmm_marker >= 0").groupBy("hmm_marker").count().collect()}
     return starts, steps, seen
 
 
+def _pieces(lines: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``lines`` with ``cell`` and ``part``, which order the pieces of a crowded chunk (zero in others), and ``group``, one key of the piece."""
+    cut = F.col("bits").isNotNull()
+    first = F.lit(-(1 << 63))  # null turns come first
+    placed = lines.join(crowded, ["conv", "chunk"], "left").withColumns({
+        "cell": F.when(cut, F.coalesce("turn", first)).otherwise(F.lit(0).cast("long")),
+        "part": F.when(cut, F.expr("shiftrightunsigned(place, 64 - bits)")).otherwise(F.lit(0).cast("long")),
+    })
+    # The conversation's length keeps "1", 23 apart from "12", 3.
+    return placed.withColumn("group", F.concat_ws(":", F.length("conv"), "conv", "chunk", "cell", "part")).drop("bits")
+
+
 def parse(lines: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``lines`` with ``role_found`` and ``rendered``, its canonical turn.
 
-    Lines follow each other by turn, equal or repeated turns by role and text
-    (null first). Null and unknown roles are lines without a marker, unless
-    their text starts with one, which is taken off. Null text counts as empty.
-    Lines with a null conversation make one conversation. A null turn comes
-    first. Input columns named like the added ones are replaced; an empty table
-    gives an empty result.
+    Lines follow each other by turn, equal or repeated turns by role and a hash
+    of the text (null first). Where over CROWDED times ``chunk`` lines share
+    ``chunk`` successive turns, lines of an equal turn are first ordered by a
+    hash of their place in the input, which parts even equal lines. Null and
+    unknown roles are lines without a marker, unless their text starts with
+    one, which is taken off. Null text counts as empty. A line with a null
+    conversation is a conversation of its own. A null turn comes first. Input
+    columns named like the added ones are replaced; an empty table gives an
+    empty result.
     """
     import numpy as np
 
     lines = writable(lines.drop("role_found", "rendered"))
     doc = fresh(lines, "hmm_line")
-    rows = lines.select(F.struct(*(F.col(f"`{c}`") for c in lines.columns)).alias(doc), F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("hmm_role"), F.col(text_col).alias("hmm_raw"))
+    rows = lines.select(F.struct(*(F.col(f"`{c}`") for c in lines.columns)).alias(doc), F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("hmm_role"), F.col(text_col).alias("hmm_raw"), F.xxhash64(F.monotonically_increasing_id()).alias("place"))
     rows = features(rows, "hmm_role", "hmm_raw").withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-1)).cast("long"))
-    slim = materialize(rows.select("conv", "turn", "chunk", "hmm_marker", "hmm_feature", "hmm_role", F.xxhash64("hmm_raw").alias("hmm_raw")), "chat_features")
+    rows = rows.withColumn("hmm_raw", F.xxhash64("hmm_raw"))
+    slim = materialize(rows.select("conv", "turn", "chunk", "place", "hmm_marker", "hmm_feature", "hmm_role", "hmm_raw"), "chat_features")
     model = fit(*_counts(slim))
-    # One key for grouping: the conversation's length keeps "1", 23 apart from "12", 3.
-    group = F.concat_ws(":", F.coalesce(F.length("conv"), F.lit(-1)), F.coalesce("conv", F.lit("")), "chunk")
-    order = ["group", "turn", "hmm_role", "hmm_raw"]
+    in_chunk = slim.filter("conv IS NOT NULL").groupBy("conv", "chunk").count().filter(F.col("count") > CROWDED * chunk)
+    crowded = materialize(in_chunk.select("conv", "chunk", F.ceil(F.log2(F.col("count") / chunk)).cast("int").alias("bits")), "chat_crowded")
+    order = ["group", "turn", "hmm_role", "hmm_raw", "place"]
 
     def emissions(table):
         return scores(model, table.column("hmm_marker").to_numpy(), table.column("hmm_feature").to_numpy())
 
+    at = ["conv", "chunk", "cell", "part", "group"]
+
     def spans(batches):
         import pyarrow as pa
 
         for table in sorted_runs(batches, "group"):
             s = span_scores(model, emissions(table))
-            yield pa.RecordBatch.from_arrays([table.column("conv").slice(0, 1).combine_chunks(), table.column("chunk").slice(0, 1).combine_chunks(), table.column("group").slice(0, 1).combine_chunks(), pa.array([s.ravel().tolist()])], names=["conv", "chunk", "group", "scores"])
+            yield pa.RecordBatch.from_arrays([*(table.column(c).slice(0, 1).combine_chunks() for c in at), pa.array([s.ravel().tolist()])], names=[*at, "scores"])
 
     def chain(key, table):
-        """Roles before and at the end of each chunk of a conversation (nine numbers a chunk)."""
+        """Roles before and at the end of each piece of a conversation (nine numbers a piece)."""
         import pyarrow as pa
 
-        table = table.sort_by("chunk")
+        table = table.sort_by([(c, "ascending") for c in ("chunk", "cell", "part")])
         k = len(ROLES)
         mats = [np.array(s).reshape(k + 1, k) for s in table.column("scores").to_pylist()]
         best, back = mats[0][k], []
@@ -174,21 +197,28 @@ def parse(lines: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
         ends.reverse()
         return pa.table([table.column("group"), pa.array([-1, *ends[:-1]], pa.int32()), pa.array(ends, pa.int32())], names=["group", "entry", "exit"])
 
-    keyed = slim.withColumn("group", group)
-    long = slim.groupBy("conv").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).filter("a <> b").select("conv")
-    in_long = keyed.alias("k").join(long.alias("l"), F.col("k.conv").eqNullSafe(F.col("l.conv")), "left_semi")
-    spanned = in_long.select("conv", "chunk", *order, "hmm_marker", "hmm_feature").repartition("group").sortWithinPartitions(*order).mapInArrow(spans, "conv string, chunk long, group string, scores array<double>")
+    keyed = _pieces(slim.filter("conv IS NOT NULL"), crowded)
+    long = keyed.groupBy("conv").agg(F.min("group").alias("a"), F.max("group").alias("b")).filter("a <> b").select("conv")
+    spanned = keyed.join(long, "conv", "left_semi").select(*at, *order[1:], "hmm_marker", "hmm_feature").repartition("group").sortWithinPartitions(*order).mapInArrow(spans, "conv string, chunk long, cell long, part long, group string, scores array<double>")
     bounds = materialize(spanned.groupBy("conv").applyInArrow(chain, "group string, entry int, exit int"), "chat_bounds")
 
-    def decode(batches):
+    def found(table, roles):
         import pyarrow as pa
 
+        return pa.table([table.column(doc), table.column("hmm_text"), pa.array([ROLES[r] for r in roles], pa.string())], names=[doc, "hmm_text", "role_found"]).to_batches()
+
+    def decode(batches):
         for table in sorted_runs(batches, "group"):
             entry, exit_ = (table.column(c)[0].as_py() for c in ("entry", "exit"))
-            roles = viterbi(model, emissions(table), None if entry in (None, -1) else entry, exit_)
-            yield from pa.table([table.column(doc), table.column("hmm_text"), pa.array([ROLES[r] for r in roles])], names=[doc, "hmm_text", "role_found"]).to_batches()
+            yield from found(table, viterbi(model, emissions(table), None if entry in (None, -1) else entry, exit_))
+
+    def decode_alone(batches):
+        for batch in batches:
+            yield from found(batch, (model[0] + emissions(batch)).argmax(axis=1))
 
-    joined = rows.withColumn("group", group).join(bounds, "group", "left")
-    found = joined.select(doc, "hmm_text", *order, "hmm_marker", "hmm_feature", "entry", "exit").repartition("group").sortWithinPartitions(*order).mapInArrow(decode, extended(rows.select(doc), "hmm_text string, role_found string"))
+    kind = extended(rows.select(doc), "hmm_text string, role_found string")
+    joined = _pieces(rows.filter("conv IS NOT NULL"), crowded).join(bounds, "group", "left")
+    together = joined.select(doc, "hmm_text", *order, "hmm_marker", "hmm_feature", "entry", "exit").repartition("group").sortWithinPartitions(*order).mapInArrow(decode, kind)
+    alone = rows.filter("conv IS NULL").select(doc, "hmm_text", "hmm_marker", "hmm_feature").mapInArrow(decode_alone, kind)
     rendered = F.concat(F.lit("<|"), "role_found", F.lit("|>\n"), F.trim("hmm_text"), F.lit("\n<|end|>\n"))
-    return found.select(f"{doc}.*", "role_found", rendered.alias("rendered"))
+    return together.unionAll(alone).select(f"{doc}.*", "role_found", rendered.alias("rendered"))

@@ -1,7 +1,9 @@
+import itertools
 import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_similar import plain_components
@@ -99,6 +101,44 @@ def test_roles_are_recovered(spark):
     assert chat.parse(every.limit(0)).count() == 0
 
 
+def path_score(model, emit, roles):
+    return model[0][roles[0]] + sum(model[1][a, b] for a, b in zip(roles, roles[1:])) + sum(e[r] for e, r in zip(emit, roles))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 7])
+def test_viterbi_finds_the_best_of_all_roles(n):
+    rng = np.random.default_rng(n)
+    model = chat.fit({1: 3}, {(1, 2): 9, (2, 1): 7, (0, 1): 2}, {(1, 4): 5, (2, 7): 8})
+    for _ in range(20):
+        emit = chat.scores(model, rng.integers(-1, 3, n), rng.integers(0, 2 * chat.LENGTHS, n))
+        best = max(path_score(model, emit, r) for r in itertools.product(range(3), repeat=n))
+        assert path_score(model, emit, chat.viterbi(model, emit)) == pytest.approx(best)  # ties may fall either way
+
+
+def test_crowded_and_null_conversations(spark, monkeypatch):
+    """Repeated lines and turns are dealt over pieces, lines without a conversation stand alone."""
+    rows = [("c", 0, "user", "x")] * 300 + [("c", None, None, "y")] * 200 + [("c", 1, "assistant", f"t{i:02}") for i in range(100)] + [(None, i % 3, "bot", "z") for i in range(400)]
+    lines = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").repartition(5)
+    runs, models = [], []
+    monkeypatch.setattr(chat, "fit", lambda *a, own=chat.fit: models.append(own(*a)) or models[-1])
+    monkeypatch.setattr(chat, "_pieces", lambda a, b, own=chat._pieces: runs.append(own(a, b)) or runs[-1])
+    got = chat.parse(lines, chunk=8).toPandas()
+    assert Counter(map(tuple, got[["conv_id", "turn", "role", "text"]].fillna("-").values)) == Counter(tuple("-" if v is None else v for v in r) for r in rows)
+    sizes = [r["count"] for r in runs[0].groupBy("group").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 40
+    alone = got[got.conv_id.isna()]
+    assert set(alone.role_found) == {"assistant"} and len(alone) == 400
+    # Lines of a turn emit alike, so their order doesn't matter: as many of each role as in one pass over all lines.
+    shown = chat.features(lines.filter("conv_id IS NOT NULL").orderBy("turn")).select("turn", "hmm_marker", "hmm_feature").toPandas()
+    plain = chat.viterbi(models[0], chat.scores(models[0], shown.hmm_marker.values, shown.hmm_feature.values))
+    named = got[got.conv_id.notna()]
+    assert Counter(zip(shown.turn.fillna(-1), (chat.ROLES[r] for r in plain))) == Counter(zip(named.turn.fillna(-1), named.role_found))
+    # The same roles with one piece and with many.
+    few = spark.createDataFrame([("d", i, None if i % 3 else ["user", "assistant"][i % 2], "w" * (i % 9)) for i in range(100)], "conv_id string, turn int, role string, text string")
+    one, many = (sorted(map(repr, chat.parse(few, chunk=c).collect())) for c in (512, 3))
+    assert one == many
+
+
 def test_pipeline_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 #: Default upper bounds of histogram buckets in ms (fixed values).
 BOUNDS = (1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
+#: Bins of values that percentiles are looked for in; one holds about two of so many parts of the rows at most, equal values aside.
+BINS = 500
 
 
 def counters(samples: DataFrame, value: str = "value") -> DataFrame:
@@ -46,15 +53,39 @@ def one_hot(x: Column, bounds=BOUNDS) -> Column:
 
 
 def percentiles(samples: DataFrame, key: str, value: str, shares: tuple[float, ...], place: str = "below") -> DataFrame:
-    """Values at a place of the sorted list, never between two: place floor(q * (n - 1)) ("below") or least(floor(q * n), n - 1) ("at").
+    """Values at a place of the sorted list, never between two: place floor(q * (n - 1)) ("below") or least(floor(q * n), n - 1) ("at"). Values are numbers; nulls come last.
 
-    Only the rows at the places wanted are picked, by rank; groups aren't collected.
+    No group is sorted whole. Values fall into ``BINS`` bins, parted at quantiles
+    of all samples (how near these are matters for the bins' sizes only), and
+    counts by key and bin say which bin holds each place. Only rows of those
+    bins are ranked, equal values as one.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1
-    ranked = samples.select(key, value, rn.alias("_i"), n.alias("_n"))
+    from pyspark.ml.feature import Bucketizer
+
+    x = F.col(value).cast("double")
+    found = samples.select(x.alias("_x")).approxQuantile("_x", [i / BINS for i in range(1, BINS)], 0.5 / BINS)
+    splits = [-math.inf, *sorted({q + 0.0 for q in found if math.isfinite(q)} or {0.0}), math.inf]
+    rows = samples.select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.coalesce(x, F.lit(0.0)).alias("_x"))
+    binned = Bucketizer(splits=splits, inputCol="_x", outputCol="_at", handleInvalid="keep").transform(rows)
+    binned = binned.select("_k", "_v", F.when(F.col("_v").isNull(), len(splits)).otherwise(F.col("_at").cast("int")).alias("_b"))
+
+    bins = Window.partitionBy("_k")
+    counted = binned.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_c"))  # a key has BINS + 2 rows at most
+    before = F.coalesce(F.sum("_c").over(bins.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.select("_k", "_b", "_c", before.alias("_before"), F.sum("_c").over(bins).alias("_n"))
     at = [F.floor(q * (F.col("_n") - 1)) if place == "below" else F.least(F.floor(q * F.col("_n")), F.col("_n") - 1) for q in shares]
-    return ranked.groupBy(key).agg(*(F.max(F.when(F.col("_i") == p, F.col(value))).alias(f"p{str(q * 100).rstrip('0').rstrip('.').replace('.', '_')}") for q, p in zip(shares, at)))
+
+    def holds(p: Column, first: Column) -> Column:
+        return (first <= p) & (p < first + F.col("_c"))
+
+    wanted = counted.filter(reduce(Column.__or__, (holds(p, F.col("_before")) for p in at))).select(F.col("_k").alias("_key"), F.col("_b").alias("_bin"), "_before", "_n")
+    wanted = materialize(wanted, "places")  # of known size, so that few keys are broadcast and many aren't
+    kept = binned.join(wanted, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bin")))
+    values = kept.groupBy("_k", "_b", "_before", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = F.sum("_c").over(Window.partitionBy("_k", "_b").orderBy(F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = values.withColumn("_first", F.col("_before") + F.coalesce(earlier, F.lit(0)))
+    names = [f"p{str(q * 100).rstrip('0').rstrip('.').replace('.', '_')}" for q in shares]
+    return ranked.groupBy(F.col("_k").alias(key)).agg(*(F.max(F.when(holds(p, F.col("_first")), F.col("_v"))).alias(name) for name, p in zip(names, at)))
 
 
 def latency_stats(samples: DataFrame, key: str, value: str) -> DataFrame:

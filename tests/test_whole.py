@@ -1,12 +1,14 @@
 """Whole jobs against plain loops."""
 
+import math
+import random
 from collections import deque
 
 import pytest
 from compare import differs
 
 from ledgerflow import plans
-from ledgerflow.operators import backup, graph, log, replay
+from ledgerflow.operators import backup, graph, log, replay, telemetry
 from ledgerflow.sources.tables import load
 
 
@@ -70,3 +72,45 @@ def test_a_later_revocation_counts(spark):
     events = spark.createDataFrame([(1, 7, "revoke"), (2, 7, "issue"), (3, 7, "revoke"), (4, 7, "revoke"), (5, 8, "issue"), (6, 9, "revoke")], "idx long, serial long, kind string")
     assert {r.serial: (r.issued_at, r.revoked_at) for r in backup.ledger(events).collect()} == {7: (2, 4), 8: (5, None)}
     assert {(r.serial, r.idx) for r in backup.unknown_revocations(events).collect()} == {(7, 1), (9, 6)}
+
+
+def most_rows_shuffled(spark, run):
+    """``run()``, and the most rows that a stage of it read from a shuffle."""
+    def stages():
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleReadRecords() for i in range(found.size())}
+
+    earlier = set(stages())
+    out = run()
+    return out, max(n for i, n in stages().items() if i not in earlier)
+
+
+@pytest.mark.parametrize("bins", [2, 7, 500])
+@pytest.mark.parametrize("place", ["below", "at"])
+def test_percentiles_of_odd_values(spark, monkeypatch, place, bins):
+    monkeypatch.setattr(telemetry, "BINS", bins)
+    rng, shares = random.Random(5), (0.0, 0.25, 0.5, 0.95, 0.999, 1.0)
+    groups = {"one": [3.5], "ties": [7.0] * 900 + [rng.random() for _ in range(100)], "nulls": [None] * 9 + [2.0, 1.0], "only nulls": [None, None], None: [float(i) for i in range(50)],
+              "ends": [-math.inf] * 3 + [math.inf] * 3 + [0.0, -1.0], "nan": [math.nan, 1.0, math.nan, None], "wide": [rng.choice((1, -1)) * 10 ** rng.uniform(-300, 300) for _ in range(400)]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    rng.shuffle(rows)
+    samples = spark.createDataFrame(rows, "name string, x double")
+    got = {r[0]: tuple(map(repr, r[1:])) for r in telemetry.percentiles(samples, "name", "x", shares, place).collect()}
+
+    def at(vs, q):
+        vs = sorted(vs, key=lambda v: (v is None, v is not None and math.isnan(v), 0.0 if v is None or math.isnan(v) else v))
+        return vs[math.floor(q * (len(vs) - 1)) if place == "below" else min(math.floor(q * len(vs)), len(vs) - 1)]
+
+    assert got == {k: tuple(repr(at(vs, q)) for q in shares) for k, vs in groups.items()}
+    assert telemetry.percentiles(samples.filter("false"), "name", "x", shares, place).count() == 0
+    whole = telemetry.percentiles(samples.filter("x between -1000 and 1000").selectExpr("name", "cast(x as decimal(10, 2)) as x"), "name", "x", (0.5,), place)
+    assert whole.columns == ["name", "p50"] and whole.schema["p50"].dataType.simpleString() == "decimal(10,2)"
+
+
+def test_percentiles_sort_no_group_whole(spark):
+    n = 100_000
+    samples = spark.range(n).selectExpr("'a' as name", "cast((id * 7919) % 100003 as double) as x")
+    rows, most = most_rows_shuffled(spark, lambda: telemetry.percentiles(samples, "name", "x", (0.5, 0.99)).collect())
+    values = sorted(i * 7919 % 100003 for i in range(n))
+    assert [tuple(r) for r in rows] == [("a", values[(n - 1) // 2], values[math.floor(0.99 * (n - 1))])]
+    assert most < n // 20  # all of them before

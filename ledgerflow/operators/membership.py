@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 
 def is_member(node: Column, nodes: Column, old_nodes: Column, joint: Column) -> Column:
     """In the configuration's nodes, or in the old ones while both count."""
@@ -60,12 +62,20 @@ def liveness(placement: DataFrame, seen: DataFrame) -> DataFrame:
     return placement.select("node_id", "group_id").join(seen, "node_id", "left").select("node_id", "group_id", F.coalesce("running", F.lit(False)).alias("live"))
 
 
-def installed(log: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Each node's log after a snapshot: entries after it stay if the node held its last entry with the same term, else none do."""
-    at = log.select("node_id", F.col("idx").alias("last_included_index"), F.col("term").alias("_t"))
-    s = snapshots.join(at, ["node_id", "last_included_index"], "left").withColumn("_keep", F.coalesce(F.col("_t") == F.col("last_included_term"), F.lit(False)))
-    j = log.join(s.select("node_id", "last_included_index", "_keep"), "node_id")
-    return j.filter("_keep AND idx > last_included_index").select("node_id", "idx", "term")
+def installed(log: DataFrame, snapshots: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Each node's log after a snapshot: entries after it stay if the node held its last entry with the same term, else none do.
+
+    Entries meet snapshots by node and block of ``block`` indices: a node's log may be of any length. The blocks are
+    written first, so that their size is known: a few are broadcast and the log isn't shuffled, many aren't.
+    """
+    in_block = F.floor(F.col("idx") / block).alias("_block")
+    at = log.select("node_id", F.col("idx").alias("last_included_index"), F.col("term").alias("last_included_term"))
+    held = snapshots.select("node_id", "last_included_index", "last_included_term").join(at, ["node_id", "last_included_index", "last_included_term"])
+    after = held.select("node_id", F.col("last_included_index").alias("_last"))
+    # Of the log's blocks, a row each, those from the snapshot's last entry on.
+    blocks = log.select("node_id", in_block).distinct().join(after, "node_id").filter(F.col("_block") >= F.floor(F.col("_last") / block))
+    blocks = materialize(blocks, "snapshot_blocks")
+    return log.select("node_id", "idx", "term", in_block).join(blocks, ["node_id", "_block"]).filter("idx > _last").select("node_id", "idx", "term")
 
 
 def stale_terms(messages: DataFrame) -> DataFrame:

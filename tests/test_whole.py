@@ -8,7 +8,7 @@ import pytest
 from compare import differs
 
 from ledgerflow import plans
-from ledgerflow.operators import backup, graph, log, replay, telemetry
+from ledgerflow.operators import backup, graph, log, membership, replay, telemetry
 from ledgerflow.sources.tables import load
 
 
@@ -114,3 +114,26 @@ def test_percentiles_sort_no_group_whole(spark):
     values = sorted(i * 7919 % 100003 for i in range(n))
     assert [tuple(r) for r in rows] == [("a", values[(n - 1) // 2], values[math.floor(0.99 * (n - 1))])]
     assert most < n // 20  # all of them before
+
+
+def test_snapshots_are_installed_by_blocks(spark):
+    rng = random.Random(3)
+    entries = [(n, i, i // 7) for n in (1, 2, 3, None) for i in range(-4, 60) if rng.random() < 0.9] + [(1, 30, 4), (1, 31, 4), (2, None, 1), (4, 5, None)]
+    taken = [(1, 20, 2), (1, 30, 4), (2, 10, 9), (3, -2, -1), (3, -2, -1), (None, 8, 1), (4, 5, None), (5, 1, 0)]
+    log_, snapshots = spark.createDataFrame(entries, "node_id long, idx long, term long"), spark.createDataFrame(taken, "node_id long, last_included_index long, last_included_term long")
+    want = sorted((n, i, t) for s, last, term in taken for held in entries for n, i, t in entries if None not in (s, term, i) and held == (s, last, term) and n == s and i > last)
+    for block in (1, 7, 1 << 16):
+        assert sorted(tuple(r) for r in membership.installed(log_, snapshots, block).collect()) == want
+
+
+def test_a_long_log_takes_a_snapshot_without_a_shuffle(spark):
+    n = 200_000
+    entries = spark.range(n).selectExpr("id % 2 as node_id", "id as idx", "id div 100 as term")
+    snapshots = spark.range(2).selectExpr("id as node_id", "290 + id as last_included_index", "2 + 7 * id as last_included_term")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")  # over the size of snapshots and blocks, not of the log
+    try:
+        count, most = most_rows_shuffled(spark, lambda: membership.installed(entries, snapshots).groupBy("node_id").count().collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [tuple(r) for r in count] == [(0, n // 2 - 146)]
+    assert most < n // 20  # all of them before

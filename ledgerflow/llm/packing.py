@@ -33,80 +33,90 @@ MAX_ROUNDS = 1000
 GAP = 5e-4
 
 _tokenizers: dict[str, "Tokens"] = {}
-#: Lower-case letters of ASCII and Latin-1, which no normaliser changes.
-_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+\\Z")
+#: A word of ASCII and Latin-1 letters, which no normaliser but lower-casing changes, between ASCII signs other than apostrophes.
+_SIGNS = r"[!-&(-/:-@\[-`{-~]*"
+_WORD = re.compile(f"({_SIGNS})([A-Za-zÀ-ÖØ-öø-ÿ]+)({_SIGNS})")
 #: How byte-level BPE writes bytes: printable ones as themselves, the others from U+0100 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
+class _Words(dict):
+    """Ids by word; a new word is learnt as it is looked up."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.learn(word)
+
+
 class Tokens:
     """Ids of texts by a tokenizer whose pre-tokenizer parts at white space, so that a word's ids don't depend on others and can be kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.bytes, self.fast = Tokenizer.from_file(path), {}, 0, False
-        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer, self.words, self.long, self.bytes, self.fast = Tokenizer.from_file(path), _Words(self._learn), {}, 0, False
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # A character that all of them have, if there is one, rules most words out at once.
-        self.mark = next((bytes([c]) for c in self.added[0] if all(c in a for a in self.added)), b"") if self.added else b""
-        # Words of lower-case letters can go to the merges at once, if this tokenizer treats letters as _BYTES says.
-        probe = ["word", "\u00fcber\u00df", "\u00e9\u00e0\u00f1\u00ff"]
-        self.fast = all(self.tokenizer.encode(w, add_special_tokens=False).ids == [t.id for t in self.tokenizer.model.tokenize("".join(_BYTES[b] for b in w.encode()))] for w in probe)
-
-    def _learn(self, missing: set[bytes]) -> list[bytes]:
-        """Learns the words' ids and those of their parts; returns which of them are too long to keep."""
-        # "Word," has the ids of "word" and of ","; only plain ASCII words are lower-cased for it.
-        # Words that hold an added token's text in any case stay as they are: the tokenizer finds these before it lower-cases.
-        words, parts, fresh, marks = self.words, [], set(), self.added
-        for raw in missing:
-            stem = raw
-            if raw.isascii():
-                low = raw.lower()
-                if self.mark not in low or not any(a in low for a in marks):
-                    stem = low
-                letter = stem[-2:-1].isalpha()
-            else:
-                letter = raw.endswith((b".", b",")) and raw.decode()[-2:-1].isalpha()
-            tail = stem[-1:] if letter and stem.endswith((b".", b",")) else b""
-            stem = stem[: len(stem) - len(tail)]
-            parts.append((raw, stem, tail))
-            fresh.add(stem)
-            if tail:
-                fresh.add(tail)
-        fresh = fresh.difference(words)
-        rest, tokenize = [], self.tokenizer.model.tokenize
-        for w in fresh:
-            if self.fast and w.isalpha() and w.islower():
-                words[w] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(w.decode())])
-            elif self.fast and _LETTERS.match(w.decode()):
-                words[w] = b"".join([t.id.to_bytes(4, "little") for t in tokenize("".join([_BYTES[b] for b in w]))])
-            else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-            words[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        for raw, stem, tail in parts:
-            if raw not in words:
-                words[raw] = words[stem] + words[tail] if tail else words[stem]
-        fresh |= missing
-        lengths = list(map(len, fresh))
-        self.bytes += ENTRY_BYTES * len(fresh) + 5 * sum(lengths)  # a word's ids have four times its bytes at most
-        return [w for w in fresh if len(w) > LONG_WORD] if max(lengths) > LONG_WORD else []
+        self.mark = next((c for c in self.added[0] if all(c in a for a in self.added)), "") if self.added else ""
+        # Letters can go to the merges at once and signs apart, if this tokenizer lower-cases, parts and shows bytes as _learn takes it to.
+        probe = ["word", "\u00fcber\u00df", "\u00e9\u00e0\u00f1\u00ff", "WordS", "\u00dcBER\u00c9", "(word", "w.%%%", "_$A\u00d1o#,!!", "&b;", "[C]", "-d-"]
+        self.fast = all(self._parted(_WORD.fullmatch(w)) == self._encoded(w) for w in probe)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words.clear()
+        self.bytes = 0
+
+    def _encoded(self, word: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        """Long words are kept for the slice only, others with what they take in bytes: a word's ids have four times its bytes at most."""
+        if len(word) > LONG_WORD:
+            self.long[word] = ids
+        else:
+            self.words[word] = ids
+            self.bytes += ENTRY_BYTES + 5 * len(word)
+
+    def _parted(self, m: re.Match) -> bytes:
+        """Ids of signs, letters in lower case and signs, each on its own; keeps those of the parts."""
+        head, letters, tail = m.groups()
+        low = letters.lower()
+        stem = low.encode()
+        ids = self.words.get(stem, self.long.get(stem))
+        if ids is None:
+            shown = low if low.isascii() else "".join([_BYTES[b] for b in stem])
+            ids = b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(shown)])
+            self._keep(stem, ids)
+        return (self.words[head.encode()] if head else b"") + ids + (self.words[tail.encode()] if tail else b"") if head or tail else ids
+
+    def _learn(self, raw: bytes) -> bytes:
+        """A new word's ids, which are kept."""
+        if raw in self.long:
+            return self.long[raw]
+        word = raw.decode()
+        m = _WORD.fullmatch(word) if self.fast else None
+        # Words that hold an added token's text in any case stay whole: the tokenizer finds these before it lower-cases.
+        if m and self.mark in word and any(a in word.lower() for a in self.added):
+            m = None
+        ids = self._parted(m) if m else self._encoded(word)
+        if raw not in self.words:
+            self._keep(raw, ids)
+        return ids
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of UTF-8 text. Only ASCII white space parts words here; the tokenizer sees to any other."""
         words, out = text.split(), []
         for i in range(0, len(words), SLICE_WORDS):
-            part = words[i : i + SLICE_WORDS]
-            missing = set(part).difference(self.words)
-            long = self._learn(missing) if missing else []
-            out.append(b"".join(map(self.words.__getitem__, part)))
-            for w in long:
-                self.bytes -= ENTRY_BYTES + 5 * len(w)
-                del self.words[w]
+            out.append(b"".join(map(self.words.__getitem__, words[i : i + SLICE_WORDS])))
+            self.long.clear()
             if self.bytes > CACHE_BYTES:
-                self.words.clear()
-                self.bytes = 0
+                self._forget()
         return b"".join(out)
 
 

@@ -85,6 +85,26 @@ def test_shards_keep_to_the_limit(spark):
     assert sharding.shard(x.limit(0)).count() == 0
 
 
+def test_shards_need_no_broadcast_of_their_directory(spark):
+    """With Spark's own threshold the prefixes (120,000 here, 80 MiB) were broadcast, since their files are small."""
+    x = spark.range(30000).selectExpr("id AS doc_id", "repeat('x', int(IF(id % 10 = 0, 900, 20 + id % 50))) AS text")
+    hot = spark.range(6000).selectExpr("IF(id % 2 = 0, -1L, NULL) AS doc_id", "IF(id % 2 = 0, 'four', NULL) AS text")
+    setting = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "2m")
+    try:
+        got = sharding.shard(x.union(hot), limit=1000).select("doc.doc_id", "shard_id", "depth", sharding.key_hash(F.col("doc.doc_id")).alias("h"), "bytes").toPandas()
+    finally:
+        spark.conf.set(setting, before)
+    assert len(got) == 36000 and got[got.doc_id == -1].shard_id.str.contains("/").all() and got[got.doc_id.isna()].shard_id.nunique() == 1
+    small = got[got.doc_id != -1]
+    want = np.full(len(small), -1)
+    for d in range(sharding.BITS + 1):
+        want[(want < 0) & (small.bytes.groupby(small.h.to_numpy() >> (sharding.BITS - d)).transform("sum") <= 1000)] = d
+    assert (small.depth == want).all()
+    assert list(small.shard_id) == [format(h >> (sharding.BITS - d), f"0{d}b") for h, d in zip(small.h, want)]
+
+
 def test_roles_are_recovered(spark):
     lines = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     hidden = lines.withColumn("marker", F.when(F.col("turn") % 4 != 2, F.col("role")))
